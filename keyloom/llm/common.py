@@ -185,6 +185,13 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def slices(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes raw[a[i]:b[i]] end to end, and their offsets."""
+    size = b - a
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    return raw[np.arange(int(offsets[-1])) + np.repeat(a - offsets[:-1], size)], offsets
+
+
 def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list array of consecutive slices of values."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

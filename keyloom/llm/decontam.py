@@ -27,7 +27,7 @@ class _Named:
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         self.words = Words(raw, offsets, ALNUM, fold_case=True)
-        self.sums = prefix_sums(self.words.hash, mix64(self.words.hash ^ np.uint64(0xBE9CB0A7D15EA5E5)))
+        self.sums = [prefix_sums(h) for h in (self.words.hash, mix64(self.words.hash ^ np.uint64(0xBE9CB0A7D15EA5E5)))]
 
     def names(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places, first name, second name) of all runs of `length` words within a row."""

@@ -9,13 +9,15 @@ are named is given by a `Units` function, all else is shared:
    collapse here, through one pre-aggregated min() per name. What a covered run
    holds is held by the smaller document too, so the run needn't be compared
    again, neither to be found nor to find others.
-2. Levels. For the sizes s of `levels` (each up to twice the one before, the
-   last L), a window that is still a candidate is keyed by the smallest name
-   among its s-grams. Equal windows have equal keys, so a window whose key is
-   in no second document can't repeat and isn't looked at on the next level.
-   This sends about 2/(L-s+2) rows a unit instead of one. At s = L the key is
-   the window's own name, 128 bits wide, and a row of a larger document than
-   the name's smallest is a hit.
+2. Keys. Every other window is keyed by the smallest name among its s-grams, s
+   the base size. Equal windows have equal keys, so a window whose key is in no
+   second document can't repeat and isn't looked at again. Neighbouring windows
+   mostly share their key: about 2/(L-s+2) rows a unit are sent, not one.
+3. Stretches. Neighbouring windows of one key (up to 63) form a stretch, which
+   carries its text. The stretches of a key that few documents have meet in one
+   bounded group, where the first document of each window is found. Those of a
+   key that many have are first reduced to one for each text, then compared by
+   rows of windows with a pre-aggregated min().
 
 No positions are shuffled: names travel with doc_id, and positions are found
 again from the text. Groups are reduced by min/max with partial aggregation;
@@ -33,9 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, discard, list_parts, mix64, pair64, powers, ragged, sliding_min, stage, text_parts
+from .common import blocks, discard, list_parts, mix64, pair64, powers, sliding_min, stage, text_parts
+from .groups import by_group
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+#: Documents of a key whose stretches meet in one group, at most; windows of a stretch, at most (bits of a mask).
+GROUP, STRETCH = 1000, 63
 
 
 @dataclass
@@ -43,43 +48,42 @@ class Stream:
     """The units of a block of rows, end to end. Those of row r are first[r]..first[r+1]-1.
 
     grams: names of the base-size grams at each place (those across rows mean nothing).
-    sums: prefix sums of both lanes for naming runs of any length.
+    lanes: the prefix sums of the units' names in one of two independent forms.
+    cut: the text of the units a..b-1, for arrays of both, and its offsets.
     own: what the caller needs for its output.
     """
 
     first: np.ndarray
     grams: np.ndarray
-    sums: tuple[np.ndarray, np.ndarray]
+    lanes: Callable[[int], np.ndarray]
+    cut: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     own: object
 
 
 Units = Callable[[np.ndarray, np.ndarray], Stream]
 
 
-def level_sizes(window: int, least: int) -> list[int]:
-    """Sizes from the base to the window, each at most twice the one before: 7, 13 or 25, 50."""
-    sizes = [window]
-    while (sizes[0] + 1) // 2 >= least:
-        sizes.insert(0, (sizes[0] + 1) // 2)
+def level_sizes(window: int, base: int) -> list[int]:
+    """Sizes from the base to the window, each at most twice the one before: 7, 13 or 20, 40, 50."""
+    sizes = [min(base, window)]
+    while sizes[-1] < window:
+        sizes.append(min(2 * sizes[-1], window))
     return sizes
 
 
-def prefix_sums(first_lane: np.ndarray, second_lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(first_lane)
+def prefix_sums(lane: np.ndarray) -> np.ndarray:
+    n = len(lane)
     up, _ = powers(n + 1)
-    out = []
-    for lane in (first_lane, second_lane):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(lane * up[:n], dtype=np.uint64, out=sums[1:])
-        out.append(sums)
-    return out[0], out[1]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(lane * up[:n], dtype=np.uint64, out=sums[1:])
+    return sums
 
 
-def run_names(stream: Stream, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit names of the runs a..b-1."""
-    _, down = powers(len(stream.sums[0]) + 1)
-    size = (b - a).astype(np.uint64) * _ODD
-    return tuple(mix64((s[b] - s[a]) * down[a] + size) for s in stream.sums)
+def run_names(stream: Stream, a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
+    """Names of the runs a..b-1; the two lanes together are a name of 128 bits."""
+    s = stream.lanes(lane)
+    _, down = powers(len(s) + 1)
+    return mix64((s[b] - s[a]) * down[a] + (b - a).astype(np.uint64) * _ODD)
 
 
 def grown(grams: np.ndarray, size: int, to: int) -> np.ndarray:
@@ -117,28 +121,46 @@ class Repeats:
 
     def valid(self, s: Stream) -> np.ndarray:
         """Whether a window starts at each place."""
-        n = int(s.first[-1])
-        return np.arange(n) + self.window <= np.repeat(s.first[1:], np.diff(s.first))
+        out = np.ones(int(s.first[-1]), bool)
+        for k in range(min(self.window - 1, len(out))):
+            ends = s.first[1:] - 1 - k
+            out[ends[ends >= s.first[:-1]]] = False
+        return out
 
-    def keys(self, s: Stream, size: int) -> np.ndarray:
-        """The key of the window at each place, padded: the smallest name of its grams of that size."""
-        grams, at = s.grams, self.sizes[0]
-        for to in self.sizes[1:]:
-            if at >= size:
-                break
-            grams, at = grown(grams, at, to), to
-        low = sliding_min(grams, self.window - size + 1)
+    def keys(self, s: Stream) -> np.ndarray:
+        """The key of the window at each place, padded: the smallest name of its base-size grams."""
+        low = sliding_min(s.grams, self.window - self.sizes[0] + 1)
         out = np.zeros(int(s.first[-1]), np.uint64)
         m = min(len(low), len(out))
         out[:m] = low[:m]
         return out
 
+    def names(self, s: Stream, places: np.ndarray) -> np.ndarray:
+        """First names of the windows at some places: names of each size are made from two of the one before."""
+        grams, at = s.grams, self.sizes[0]
+        for to in self.sizes[1:]:
+            grams, at = grown(grams, at, to), to
+        return grams[places]
+
+    def stretches(self, s: Stream, live: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, row) of the stretches of live windows of one key; the end is that of its last window."""
+        new = live.copy()
+        new[1:] &= ~(live[:-1] & (key[1:] == key[:-1]))
+        stop = live & np.append(new[1:] | ~live[1:], True)[: len(live)]
+        start, last = np.flatnonzero(new), np.flatnonzero(stop)
+        parts = (last - start) // STRETCH + 1
+        if len(parts) and parts.max() > 1:
+            k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+            start, last = np.repeat(start, parts) + k * STRETCH, np.repeat(last, parts)
+            last = np.minimum(last, start + STRETCH - 1)
+        return start, last + self.window, _rows_of(s, start)
+
     def inside(self, s: Stream, a: np.ndarray, e: np.ndarray, less: int) -> np.ndarray:
         """Places p with a <= p < e - less for one of the runs."""
         n = int(s.first[-1])
-        steps = np.zeros(n + 2, np.int32)
-        np.add.at(steps, a, 1)
-        np.add.at(steps, e - less, -1)
+        if not len(a):
+            return np.zeros(n, bool)
+        steps = np.bincount(a, minlength=n + 1) - np.bincount(e - less, minlength=n + 1)
         return np.cumsum(steps)[:n] > 0
 
 
@@ -175,87 +197,201 @@ def _run_rows(plan: Repeats, text: str):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, _, s, _ in _blocks_of(batch, plan, text, []):
                 start, end = plan.runs(s)
-                h1, h2 = run_names(s, start, end)
-                yield _batch({"h1": h1, "h2": h2, "doc_id": ids[a + _rows_of(s, start)].astype(np.int64)})
+                names = {f"h{k + 1}": run_names(s, start, end, k) for k in (0, 1)}
+                yield _batch(names | {"doc_id": ids[a + _rows_of(s, start)].astype(np.int64)})
 
     return rows
 
 
 def _covered(plan: Repeats, s: Stream, cut) -> tuple[np.ndarray, np.ndarray]:
     start, end = plan.runs(s)
-    hit = _among(run_names(s, start, end)[0], _rows_of(s, start), *cut)
+    if not len(cut[0]):
+        return start[:0], end[:0]
+    hit = _among(run_names(s, start, end, 0), _rows_of(s, start), *cut)
     return start[hit], end[hit]
 
 
-def _level_rows(plan: Repeats, text: str, size: int, before: int):
-    """Rows of the windows that are still candidates: name, at size L a second name, doc_id; each name once a document."""
+def _stretches(plan: Repeats, s: Stream, covered) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, end, row) of the stretches of windows that no covered run holds."""
+    live, key = plan.valid(s), plan.keys(s)
+    start, end = _covered(plan, s, covered)
+    if len(start):
+        live &= ~plan.inside(s, start, end, plan.window - 1)
+    start, end, row = plan.stretches(s, live, key)
+    return key[start], start, end, row
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _key_rows(plan: Repeats, text: str):
+    """Rows (key, doc_id), each key once a document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, _, s, cuts in _blocks_of(batch, plan, text, ["__covered"] + ["__live"] * bool(before)):
-                places = np.flatnonzero(plan.valid(s) & ~plan.inside(s, *_covered(plan, s, cuts[0]), plan.window - 1))
-                if before:
-                    places = places[_among(plan.keys(s, before)[places], _rows_of(s, places), *cuts[1])]
-                key, row = plan.keys(s, size)[places], _rows_of(s, places)
-                new = _changes(key, row)  # neighbours mostly share their key
-                key, row, places = key[new], row[new], places[new]
+            for a, _, s, cuts in _blocks_of(batch, plan, text, ["__covered"]):
+                key, _, _, row = _stretches(plan, s, cuts[0])
                 order = np.lexsort((key, row))
-                key, row, places = key[order], row[order], places[order]
+                key, row = key[order], row[order]
                 new = _changes(key, row)
-                out = {"h1": key[new]}
-                if size == plan.window:
-                    out["h2"] = run_names(s, places[new], places[new] + size)[1]
-                yield _batch(out | {"doc_id": ids[a + row[new]].astype(np.int64)})
+                yield _batch({"h1": key[new], "doc_id": ids[a + row[new]].astype(np.int64)})
 
     return rows
 
 
-def _changes(key: np.ndarray, row: np.ndarray) -> np.ndarray:
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-    return new
+_STRETCH_ROW = "key long, h1 long, h2 long, doc_id long, many boolean, part binary"
+
+
+def _stretch_rows(plan: Repeats, text: str):
+    """The stretches whose key is live, each once a document."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for a, _, s, cuts in _blocks_of(batch, plan, text, ["__covered", "__few", "__many"]):
+                key, start, end, row = _stretches(plan, s, cuts[0])
+                many = _among(key, row, *cuts[2])
+                live = many | _among(key, row, *cuts[1])
+                key, start, end, row, many = key[live], start[live], end[live], row[live], many[live]
+                h1 = run_names(s, start, end, 0)
+                order = np.lexsort((h1, row))
+                new = order[_changes(h1[order], row[order])]
+                start, end, row, many = start[new], end[new], row[new], many[new]
+                h2 = run_names(s, start, end, 1) if many.any() else np.zeros(len(new), np.uint64)
+                raw, offsets = s.cut(start, end)
+                part = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+                made = _batch({"key": key[new], "h1": h1[new], "h2": h2, "doc_id": ids[a + row].astype(np.int64)})
+                yield pa.RecordBatch.from_arrays([*made.columns, pa.array(many), part], names=[*made.schema.names, "many", "part"])
+
+    return rows
+
+
+def _windows_of(plan: Repeats, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, part, number within it) of the windows of parts."""
+    raw, offsets, _ = text_parts(parts)
+    s = plan.units(raw, offsets)
+    places = np.flatnonzero(plan.valid(s))
+    row = _rows_of(s, places)
+    return plan.names(s, places), row, places - s.first[row]
+
+
+def _first_of(plan: Repeats):
+    """Rows (doc_id, h1, mask) of stretches with windows that a smaller document of their key has. Rows come sorted by key."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size = [], 0
+        for group in by_group(batches, ["key"]):
+            held.append(group)
+            size += group.num_rows
+            if size >= 1 << 15:
+                yield pa.concat_tables(held).combine_chunks()
+                held, size = [], 0
+        if held:
+            yield pa.concat_tables(held).combine_chunks()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            doc, key = chunk.column("doc_id").to_numpy(), chunk.column("key").to_numpy().view(np.uint64)
+            name, part, k = _windows_of(plan, chunk.column("part"))
+            name = pair64(name, key[part])
+            order = np.lexsort((doc[part], name))
+            name, part, k = name[order], part[order], k[order]
+            new = _changes(name)
+            first = doc[part][new][np.cumsum(new) - 1]
+            hit = doc[part] > first
+            mask = np.zeros(len(doc), np.int64)
+            np.bitwise_or.at(mask, part[hit], np.int64(1) << k[hit])
+            some = np.flatnonzero(mask)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), chunk.column("h1").combine_chunks().take(pa.array(some)), pa.array(mask[some])], names=["doc_id", "h1", "mask"])
+
+    return rows
 
 
-def _repeated(rows: DataFrame, keys: list[str], later_only: bool, name: str) -> DataFrame:
-    """doc_id -> the names it shares with another document (later_only: with a smaller one). Staged."""
-    lo_hi = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    shared = rows.join(lo_hi, keys)
-    if later_only:
-        shared = shared.where("doc_id > lo")
-    out = stage(shared.groupBy("doc_id").agg(F.collect_list("h1").alias("names")), name)
+def _window_rows(plan: Repeats):
+    """Rows (two names, doc_id, stretch, number) of the windows of stretches."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name, part, k = _windows_of(plan, batch.column("part"))
+            columns = {n: batch.column(n).to_numpy()[part] for n in ("key", "doc_id", "h1")}
+            yield _batch({"key": columns["key"], "name": name, "doc_id": columns["doc_id"], "h1": columns["h1"], "k": k.astype(np.int64)})
+
+    return rows
+
+
+def _among_many(plan: Repeats, rows: DataFrame) -> DataFrame:
+    """As _first_of, for keys of any number of documents."""
+    names = ["key", "h1", "h2"]
+    firsts = rows.groupBy(*names).agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("hi"), F.first("part").alias("part"))
+    firsts = stage(firsts, "firsts")
+    again = rows.join(firsts.where("doc_id < hi").select(*names, F.col("doc_id").alias("lo")), names).where("doc_id > lo").select("doc_id", "h1", F.lit(2**63 - 1).alias("mask"))
+    windows = stage(firsts.select("key", "h1", "doc_id", "part").mapInArrow(_window_rows(plan), "key long, name long, doc_id long, h1 long, k long"), "windows")
+    lowest = windows.groupBy("key", "name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    hits = windows.join(lowest, ["key", "name"]).where("doc_id > lo")
+    hits = hits.groupBy("doc_id", "h1").agg(F.expr("bit_or(shiftleft(1L, cast(k as int)))").alias("mask"))
+    return again.union(hits)
+
+
+def _later(rows: DataFrame, name: str) -> DataFrame:
+    """doc_id -> its names that a smaller document has too. Staged."""
+    keys = ["h1", "h2"]
+    both = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    out = stage(rows.join(both, keys).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("h1").alias("names")), name)
     discard(rows)
     return out
 
 
 def find(docs: DataFrame, plan: Repeats, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(covered, hits): for a doc_id, names of its covered runs, and of its windows outside them that also start in a smaller document."""
+    """Staged lists by doc_id of what a smaller document has too: names of covered runs; names and masks of stretches."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text")).where("doc_id is not null and __text is not null")
-    two, one = "h1 long, h2 long, doc_id long", "h1 long, doc_id long"
-    runs = stage(texts.mapInArrow(_run_rows(plan, "__text"), two), "runs")
-    covered = _repeated(runs, ["h1", "h2"], True, "covered")
-    with_covered = texts.join(covered.withColumnRenamed("names", "__covered"), "doc_id", "left")
-    live, before = None, 0
-    for size in plan.sizes:
-        source = with_covered
-        if live is not None:
-            source = source.join(live.withColumnRenamed("names", "__live"), "doc_id")
-        last = size == plan.window
-        rows = stage(source.mapInArrow(_level_rows(plan, "__text", size, before), two if last else one), f"windows-{size}")
-        if last:
-            return covered, _repeated(rows, ["h1", "h2"], True, "hits")
-        live, before = _repeated(rows, ["h1"], False, f"live-{size}"), size
-    raise AssertionError("the last size is the window")
+    covered = _later(stage(texts.mapInArrow(_run_rows(plan, "__text"), "h1 long, h2 long, doc_id long"), "runs"), "covered")
+    source = texts.join(covered.withColumnRenamed("names", "__covered"), "doc_id", "left")
+
+    keys = stage(source.mapInArrow(_key_rows(plan, "__text"), "h1 long, doc_id long"), "keys")
+    others = keys.join(keys.groupBy("h1").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")), "h1").where("doc_id > lo")
+    others = stage(others.select("h1", "doc_id", "lo", (F.col("n") > GROUP).alias("many")), "others")
+    discard(keys)
+    live = others.select("doc_id", "h1", "many").union(others.select(F.col("lo").alias("doc_id"), "h1", "many").distinct())
+    live = stage(live.groupBy("doc_id").agg(*[F.collect_list(F.when(c, F.col("h1"))).alias(n) for n, c in (("__few", ~F.col("many")), ("__many", F.col("many")))]), "live")
+    discard(others)
+
+    rows = stage(source.join(live, "doc_id").mapInArrow(_stretch_rows(plan, "__text"), _STRETCH_ROW), "stretches")
+    few = rows.where("not many").select("key", "h1", "doc_id", "part").repartition("key").sortWithinPartitions("key").mapInArrow(_first_of(plan), "doc_id long, h1 long, mask long")
+    hits = few.union(_among_many(plan, rows.where("many")))
+    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "mask")).alias("x"))
+    hits = stage(hits.select("doc_id", F.col("x.h1").alias("names"), F.col("x.mask").alias("masks")), "hits")
+    discard(rows)
+    return covered, hits
 
 
 def _marked(plan: Repeats, s: Stream, cuts) -> np.ndarray:
     """Whether each unit is removed."""
+    gone = np.zeros(int(s.first[-1]), bool)
     start, end = _covered(plan, s, cuts[0])
-    gone = plan.inside(s, start, end, 0)
-    if len(cuts[1][0]):
-        places = np.flatnonzero(plan.valid(s))
-        hit = places[_among(plan.keys(s, plan.window)[places], _rows_of(s, places), *cuts[1])]
-        gone |= plan.inside(s, hit, hit + plan.window, 0)
+    if len(start):
+        gone |= plan.inside(s, start, end, 0)
+    (listed, offsets), (masks, _) = cuts[1:]
+    if len(listed):
+        _, start, end, row = _stretches(plan, s, cuts[0])
+        pool = pair64(listed.view(np.uint64), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.uint64))
+        order = np.argsort(pool)
+        pool, masks = pool[order], masks[order]
+        new = np.flatnonzero(_changes(pool))
+        pool, masks = pool[new], np.bitwise_or.reduceat(masks, new)
+        own = pair64(run_names(s, start, end, 0), row.astype(np.uint64))
+        at = np.minimum(np.searchsorted(pool, own), len(pool) - 1)
+        hit = pool[at] == own
+        start, size, mask = start[hit], (end - plan.window + 1 - start)[hit], masks[at[hit]]
+        k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        some = (np.repeat(mask, size) >> k) & 1 == 1
+        places = (np.repeat(start, size) + k)[some]
+        gone |= plan.inside(s, places, places + plan.window, 0)
     return gone
 
 
@@ -271,13 +407,14 @@ def remove(docs: DataFrame, plan: Repeats, write, outputs: list[T.StructField],
     names = ["__text" if f.name == text else f"c{i}" for i, f in enumerate(kept)]
     own = docs.select(*[F.col(f.name).alias(n) for n, f in zip(names, kept, strict=True) if n != "__text"], F.col(text).alias("__text"), F.col("doc_id").cast("long").alias("__id"))
     own = own.join(covered.select(F.col("doc_id").alias("__id"), F.col("names").alias("__covered")), "__id", "left")
-    own = own.join(hits.select(F.col("doc_id").alias("__id"), F.col("names").alias("__hits")), "__id", "left")
+    own = own.join(hits.select(F.col("doc_id").alias("__id"), "names", "masks").toDF("__id", "__names", "__masks"), "__id", "left")
+    listed = ["__covered", "__names", "__masks"]
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, kept, strict=True)] + [T.StructField(f"o{i}", o.dataType) for i, o in enumerate(outputs)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             null = batch.column("__text").is_null().to_numpy(zero_copy_only=False)
-            for a, b, s, cuts in _blocks_of(batch, plan, "__text", ["__covered", "__hits"]):
+            for a, b, s, cuts in _blocks_of(batch, plan, "__text", listed):
                 made = write(s, _marked(plan, s, cuts), null[a:b])
                 arrays = [batch.column(n).slice(a, b - a) for n in names] + made
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, *(f"o{i}" for i in range(len(outputs)))])
@@ -285,6 +422,3 @@ def remove(docs: DataFrame, plan: Repeats, write, outputs: list[T.StructField],
     out = own.mapInArrow(rows, schema)
     back = [F.col(n).alias(f.name) for n, f in zip(names, kept, strict=True)] + [F.col(f"o{i}").alias(o.name) for i, o in enumerate(outputs)]
     return out.select(*back)
-
-
-__all__ = ["Repeats", "Stream", "find", "level_sizes", "prefix_sums", "ragged", "remove"]

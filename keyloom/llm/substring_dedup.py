@@ -1,22 +1,25 @@
 """Substring dedup by level-wise doubling.
 
 Windows of words that repeat at one length are alone extended to (up to) twice
-that length, until the wanted length is reached or no candidate is left. See
-repeats.py for what is shuffled.
+that length, until the wanted length is reached or no candidate is left: names
+of a length are made from two names of the one before. See repeats.py for what
+is shuffled.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, Words, mix64, windows_hash
+from .common import NOT_SPACE, Words, mix64, slices, windows_hash
 from .repeats import Repeats, Stream, level_sizes, prefix_sums, remove
 
-#: Mean words of a piece of the covering runs (a power of two), and the shortest base of the levels.
-PIECE, LEAST = 32, 5
+#: Mean words of a piece of the covering runs (a power of two), and the first length.
+PIECE, BASE = 32, 7
 
 
 class _WordUnits:
@@ -28,8 +31,15 @@ class _WordUnits:
         grams = np.full(len(words), np.uint64(1))
         made = windows_hash(words.hash, self.base)
         grams[: len(made)] = made
-        second = mix64(words.hash ^ np.uint64(0xA5A5F00DC0FFEE11))
-        return Stream(words.first, grams, prefix_sums(words.hash, second), words)
+
+        @lru_cache
+        def lanes(k: int) -> np.ndarray:
+            return prefix_sums(mix64(words.hash ^ np.uint64(0xA5A5F00DC0FFEE11)) if k else words.hash)
+
+        def cut(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return slices(words.text, words.start[a], words.end[b - 1])
+
+        return Stream(words.first, grams, lanes, cut, words)
 
 
 def _write(s: Stream, gone: np.ndarray, null: np.ndarray) -> list[pa.Array]:
@@ -68,7 +78,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", colum
     """
     if window < 2:
         raise ValueError("a window has two words or more")
-    sizes = level_sizes(window, LEAST)
+    sizes = level_sizes(window, BASE)
     plan = Repeats(window, tuple(sizes), PIECE, _WordUnits(sizes[0]))
     outputs = [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     return remove(docs, plan, _write, outputs, text, columns)

@@ -11,16 +11,18 @@ equal windows are followed alike at a fraction of the rows (repeats.py).
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import _BYTE, mix64, powers
+from .common import _BYTE, mix64, powers, slices
 from .repeats import Repeats, Stream, level_sizes, prefix_sums, remove
 
-#: Mean bytes of a piece of the covering runs (a power of two), and the shortest q.
-PIECE, LEAST = 256, 16
+#: Mean bytes of a piece of the covering runs (a power of two), and q.
+PIECE, BASE = 256, 20
 _SECOND = mix64(_BYTE ^ np.uint64(0x5EED5EED5EED5EED))
 
 
@@ -29,13 +31,18 @@ class _ByteUnits:
         self.base = base
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> Stream:
-        sums = prefix_sums(_BYTE[raw], _SECOND[raw])
+        sums = prefix_sums(_BYTE[raw])
+
+        @lru_cache
+        def lanes(k: int) -> np.ndarray:
+            return prefix_sums(_SECOND[raw]) if k else sums
+
         n = max(0, len(raw) - self.base + 1)
         _, down = powers(len(raw) + 1)
         grams = np.full(len(raw), np.uint64(1))
         if n:
-            grams[:n] = mix64((sums[0][self.base :] - sums[0][:n]) * down[:n])
-        return Stream(offsets - offsets[0], grams, sums, raw)
+            grams[:n] = mix64((sums[self.base :] - sums[:n]) * down[:n])
+        return Stream(offsets - offsets[0], grams, lanes, lambda a, b: slices(raw, a, b), raw)
 
 
 def _write(s: Stream, gone: np.ndarray, null: np.ndarray) -> list[pa.Array]:
@@ -68,7 +75,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, text: str = "text", columns:
     """
     if length < 2:
         raise ValueError("a string has two bytes or more")
-    sizes = level_sizes(length, LEAST)
+    sizes = level_sizes(length, BASE)
     plan = Repeats(length, tuple(sizes), PIECE, _ByteUnits(sizes[0]))
     long = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     return remove(docs, plan, _write, [T.StructField("kept", T.BinaryType()), *long], text, columns)
