@@ -221,14 +221,19 @@ def _stretches(plan: Repeats, s: Stream, covered) -> tuple[np.ndarray, np.ndarra
     return key[start], start, end, row
 
 
-def _changes(*columns: np.ndarray) -> np.ndarray:
-    new = np.zeros(len(columns[0]), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
+def _changes(sorted_: np.ndarray) -> np.ndarray:
+    new = np.ones(len(sorted_), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
     return new
 
 
+def _once(names: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of different pairs."""
+    pairs = pair64(names, rows.astype(np.uint64))
+    order = np.argsort(pairs)
+    return order[_changes(pairs[order])]
+
+
 def _key_rows(plan: Repeats, text: str):
     """Rows (key, doc_id), each key once a document."""
 
@@ -237,9 +242,7 @@ def _key_rows(plan: Repeats, text: str):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, _, s, cuts in _blocks_of(batch, plan, text, ["__covered"]):
                 key, _, _, row = _stretches(plan, s, cuts[0])
-                order = np.lexsort((key, row))
-                key, row = key[order], row[order]
-                new = _changes(key, row)
+                new = _once(key, row)
                 yield _batch({"h1": key[new], "doc_id": ids[a + row[new]].astype(np.int64)})
 
     return rows
@@ -260,8 +263,7 @@ def _stretch_rows(plan: Repeats, text: str):
                 live = many | _among(key, row, *cuts[1])
                 key, start, end, row, many = key[live], start[live], end[live], row[live], many[live]
                 h1 = run_names(s, start, end, 0)
-                order = np.lexsort((h1, row))
-                new = order[_changes(h1[order], row[order])]
+                new = _once(h1, row)
                 start, end, row, many = start[new], end[new], row[new], many[new]
                 h2 = run_names(s, start, end, 1) if many.any() else np.zeros(len(new), np.uint64)
                 raw, offsets = s.cut(start, end)
@@ -300,11 +302,11 @@ def _first_of(plan: Repeats):
             doc, key = chunk.column("doc_id").to_numpy(), chunk.column("key").to_numpy().view(np.uint64)
             name, part, k = _windows_of(plan, chunk.column("part"))
             name = pair64(name, key[part])
-            order = np.lexsort((doc[part], name))
+            order = np.argsort(name)
             name, part, k = name[order], part[order], k[order]
-            new = _changes(name)
-            first = doc[part][new][np.cumsum(new) - 1]
-            hit = doc[part] > first
+            new, own = _changes(name), doc[part]
+            first = np.minimum.reduceat(own, np.flatnonzero(new)) if len(own) else own
+            hit = own > first[np.cumsum(new) - 1]
             mask = np.zeros(len(doc), np.int64)
             np.bitwise_or.at(mask, part[hit], np.int64(1) << k[hit])
             some = np.flatnonzero(mask)
