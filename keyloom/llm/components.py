@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round is two pre-aggregated min() and two equi-joins; the edges stay
-distributed, hot nodes are spread by the join's skew handling, and rounds grow
+distributed, the joins are with staged tables so that a hot node's partition can
+be split, and rounds grow
 with the logarithm of a component's size.
 """
 
@@ -15,13 +16,13 @@ from .common import discard, stage
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stage(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -38,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     seen = state(now)
     while seen["n"]:
-        after = stage(_small_star(_large_star(now)), "stars")
+        after = stage(_small_star(stage(_large_star(now), "large")), "stars")
         new = state(after)
         discard(now)
         now = after

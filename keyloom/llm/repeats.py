@@ -332,10 +332,11 @@ def _among_many(plan: Repeats, rows: DataFrame) -> DataFrame:
     names = ["key", "h1", "h2"]
     firsts = rows.groupBy(*names).agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("hi"), F.first("part").alias("part"))
     firsts = stage(firsts, "firsts")
+    # joins are with staged tables, not with aggregates, so that a hot key's partition can be split
     again = rows.join(firsts.where("doc_id < hi").select(*names, F.col("doc_id").alias("lo")), names).where("doc_id > lo").select("doc_id", "h1", F.lit(2**63 - 1).alias("mask"))
     windows = stage(firsts.select("key", "h1", "doc_id", "part").mapInArrow(_window_rows(plan), "key long, name long, doc_id long, h1 long, k long"), "windows")
     lowest = windows.groupBy("key", "name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    hits = windows.join(lowest, ["key", "name"]).where("doc_id > lo")
+    hits = windows.join(stage(lowest, "lowest"), ["key", "name"]).where("doc_id > lo")
     hits = hits.groupBy("doc_id", "h1").agg(F.expr("bit_or(shiftleft(1L, cast(k as int)))").alias("mask"))
     return again.union(hits)
 
@@ -344,7 +345,7 @@ def _later(rows: DataFrame, name: str) -> DataFrame:
     """doc_id -> its names that a smaller document has too. Staged."""
     keys = ["h1", "h2"]
     both = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    out = stage(rows.join(both, keys).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("h1").alias("names")), name)
+    out = stage(rows.join(stage(both, "both"), keys).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("h1").alias("names")), name)
     discard(rows)
     return out
 
@@ -356,7 +357,8 @@ def find(docs: DataFrame, plan: Repeats, text: str = "text") -> tuple[DataFrame,
     source = texts.join(covered.withColumnRenamed("names", "__covered"), "doc_id", "left")
 
     keys = stage(source.mapInArrow(_key_rows(plan, "__text"), "h1 long, doc_id long"), "keys")
-    others = keys.join(keys.groupBy("h1").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")), "h1").where("doc_id > lo")
+    shared = stage(keys.groupBy("h1").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")).where("n > 1"), "shared")
+    others = keys.join(shared, "h1").where("doc_id > lo")
     others = stage(others.select("h1", "doc_id", "lo", (F.col("n") > GROUP).alias("many")), "others")
     discard(keys)
     live = others.select("doc_id", "h1", "many").union(others.select(F.col("lo").alias("doc_id"), "h1", "many").distinct())
