@@ -2,5 +2,437 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import bloom, fields, geoset, keyspace, kv, zset
+from .plans import commands as cmd
+from .sources import codec
+from .sources import tables as t
+
+NOW = 750_000
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# The derived structures in SQL.
+_KV = "kv as (select c_name as key, c_mktsegment as value, case when c_custkey % 3 <> 0 then c_custkey * 1000 end as expire_at, c_custkey as seq from customer)"
+_Z = "zset as (select c_mktsegment as key, c_name as member, c_acctbal as score, c_custkey::varchar as value from customer), ranked as (select *, row_number() over (partition by key order by score, member) as rn from zset)"
+_H = "h as (select conv_id::varchar as key, turn::varchar as field, text as value from conversations)"
+_PROBE = "probe as (select c_name as key from customer union select s_name from supplier)"
+_HASHED = """hashed as (select s, case when w >= 2147483648 then w - 4294967296 else w end as h, w from (select s, list_reduce(
+  list_transform(range(1, length(s) + 1), lambda i: ord(substr(s, i::int, 1))::bigint), lambda a, c: (a * 31 + c) & 4294967295, 0::bigint) as w from texts))"""
+_M, _K = 9586, 7
+_POS = """pos as (select s, i, ((h + i * (case when w2 >= 2147483648 then w2 - 4294967296 else w2 end)) & 9223372036854775807) % 9586 as bit
+  from (select s, h, (961 + h * 31 + 194965049) & 4294967295 as w2 from hashed), range(0, 7) r(i))"""
+_GEO = """raw as (select c_mktsegment as key, c_name as member, -80.0::double + ((c_custkey * 7919) % 16000) / 100.0::double as lat, -180.0::double + ((c_custkey * 104729) % 36000) / 100.0::double as lon, c_custkey as k from customer),
+geo as (select *, trunc((lat + 85.05112878::double) / 170.10225756::double * 67108863.0::double)::bigint as yi, trunc((lon + 180.0::double) / 360.0::double * 67108863.0::double)::bigint as xi from raw)"""
+
+
+def _spread_sql(x: str) -> str:
+    bits = " + ".join(f"((({x}) >> {i}) & 1) * {1 << (2 * i)}" for i in range(26))
+    return f"({bits})"
+
+
+def _lat_sql(y: str) -> str:
+    return f"(-85.05112878::double + ({y} / 67108863.0::double) * 170.10225756::double)"
+
+
+def _lon_sql(x: str) -> str:
+    return f"(-180.0::double + ({x} / 67108863.0::double) * 360.0::double)"
+
+
+def _dist_sql(y1: str, x1: str, y2: str, x2: str) -> str:
+    a = f"(sin(radians({y2} - {y1}) / 2) ** 2 + cos(radians({y1})) * cos(radians({y2})) * sin(radians({x2} - {x1}) / 2) ** 2)"
+    return f"(12742000.0 * atan2(sqrt({a}), sqrt(1 - {a})))"
+
+
+def query(sql: str | None):
+    def registered(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return registered
+
+
+def _probes(spark, d):
+    return t.table(spark, d, "customer").select(F.col("c_name").alias("key")).union(t.table(spark, d, "supplier").select("s_name")).distinct()
+
+
+# --- key-value pairs
+
+
+@query(f"with {_KV}, {_PROBE} select key, value from probe left join (select key, value from kv where expire_at is null or {NOW} <= expire_at) using (key)")
+def kv_get_batch(spark, d):
+    return kv.get(t.kv(spark, d), _probes(spark, d), NOW)
+
+
+@query(f"with {_KV}, {_PROBE} select key, case when key in (select key from kv where expire_at is null or {NOW} <= expire_at) then 1 else 0 end as flag from probe")
+def kv_exists_batch(spark, d):
+    return kv.exists(t.kv(spark, d), _probes(spark, d), NOW)
+
+
+def _puts(spark, d):
+    o = t.table(spark, d, "orders").join(t.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.select(F.col("c_name").alias("key"), F.col("o_orderpriority").alias("value"), F.lit(None).cast("bigint").alias("expire_at"), F.col("o_orderkey").alias("seq"))
+
+
+@query(f"""with {_KV}, new as (select c_name as key, max_by(o_orderpriority, o_orderkey) as value, max(o_orderkey) as seq from orders join customer on o_custkey = c_custkey group by 1)
+select key, value, expire_at, seq from kv where key not in (select key from new) union all select key, value, null, seq from new""")
+def kv_put_upsert(spark, d):
+    return kv.put(t.kv(spark, d), _puts(spark, d))
+
+
+@query(f"with {_KV}, {_PROBE} select key, case when exists (select 1 from kv where kv.key = probe.key and (expire_at is null or {NOW} < expire_at)) then 'FAIL' else 'OK' end as flag from probe")
+def kv_put_nx(spark, d):
+    return kv.put_if_absent(t.kv(spark, d), _probes(spark, d), NOW)
+
+
+@query(f"with {_KV} select key, value, expire_at, seq from kv where expire_at is null or {NOW} <= expire_at")
+def kv_ttl_live(spark, d):
+    return t.kv(spark, d).where(kv.live(NOW))
+
+
+@query(f"with {_KV} select key, value, expire_at, seq from kv where key not in (select key from kv where expire_at <= {NOW} order by expire_at, key limit 100)")
+def kv_ttl_sweep100(spark, d):
+    return kv.sweep(t.kv(spark, d), NOW, 100)
+
+
+@query(f"with {_KV} select key, value, expire_at, seq from kv where key not in (select c_name from customer where c_nationkey % 5 = 0)")
+def kv_delete(spark, d):
+    return kv.delete(t.kv(spark, d), t.table(spark, d, "customer").where("c_nationkey % 5 = 0").select(F.col("c_name").alias("key")))
+
+
+@query(f"with {_KV}, {_PROBE} select key, case when key in (select key from kv where expire_at is null or {NOW} <= expire_at) then 1 else 0 end as flag from probe")
+def kv_delete_flags(spark, d):
+    return kv.exists(t.kv(spark, d), _probes(spark, d), NOW)
+
+
+@query("select user_id::varchar as key, max_by(props, event_id) as value, max(event_id) as seq from events where event_id > (select max(event_id) // 2 from events) group by 1 having max_by(event_type, event_id) <> 'error'")
+def kv_clear_barrier(spark, d):
+    log = t.kv_log(spark, d).withColumn("not_exists", F.lit(False))
+    middle = t.table(spark, d, "events").agg(F.floor(F.max("event_id") / 2).alias("seq"))
+    clear = middle.select("seq", F.lit(0).cast("bigint").alias("ts_ms"), F.lit("CLEAR").alias("command"), *[F.lit(None).cast(k).alias(n) for n, k in (("key", "string"), ("value", "string"), ("ttl_ms", "bigint"), ("not_exists", "boolean"))])
+    return cmd.replay_kv(log.where(F.col("seq") >= 0).join(middle.withColumnRenamed("seq", "m"), F.col("seq") != F.col("m")).drop("m").unionByName(clear)).drop("expire_at")
+
+
+@query("""select 'kv' as kind, c_name as name from customer union select 'zset', 'zs_' || c_mktsegment from customer union select 'geo', 'geo_' || c_mktsegment from customer
+union select 'hash', 'hs_' || conv_id from conversations union select 'bloom', 'bf_members'""")
+def keys_all(spark, d):
+    filters = bloom.init(spark.sql("select 'members' as key, 1000 as n, 0.01D as p"))
+    return keyspace.keys({"kv": t.kv(spark, d), "zset": t.zset(spark, d), "geo": t.points(spark, d), "hash": t.fields(spark, d), "bloom": filters})
+
+
+# --- Bloom filters
+
+
+def _members(spark, d):
+    return t.table(spark, d, "supplier").select(F.lit("members").alias("key"), F.col("s_name").alias("value"))
+
+
+def _filter(spark, d):
+    defs = bloom.init(spark.sql("select 'members' as key, 1000 as n, 0.01D as p"))
+    return defs, bloom.add(defs, None, _members(spark, d))
+
+
+@query("select n_name as key, ceil(-n * ln(0.01::double) / ln(2) ** 2)::bigint as m, ceil(ceil(-n * ln(0.01::double) / ln(2) ** 2) / n * ln(2))::bigint as k from (select n_name, (n_nationkey + 1) * 100 as n from nation)")
+def bf_init_params(spark, d):
+    return bloom.init(t.table(spark, d, "nation").select(F.col("n_name").alias("key"), ((F.col("n_nationkey") + 1) * 100).alias("n"), F.lit(0.01).alias("p")))
+
+
+@query(f"with texts as (select s_name as s from supplier), {_HASHED}, {_POS} select distinct 'members' as key, bit from pos")
+def bf_bits(spark, d):
+    return _filter(spark, d)[1]
+
+
+@query("select 'members' as key, s_name as value, 1 as flag from supplier")
+def bf_exists_members(spark, d):
+    return bloom.exists(*_filter(spark, d), _members(spark, d))
+
+
+@query(f"""with texts as (select s_name as s from supplier union select n_name from nation union select c_name from customer), {_HASHED}, {_POS},
+bits as (select distinct bit from pos where s in (select s_name from supplier)) select 'members' as key, s as value, min(case when bit in (select bit from bits) then 1 else 0 end) as flag from pos group by s""")
+def bf_exists_probe(spark, d):
+    some = t.table(spark, d, "nation").select("n_name").union(t.table(spark, d, "supplier").select("s_name")).union(t.table(spark, d, "customer").select("c_name"))
+    return bloom.exists(*_filter(spark, d), some.select(F.lit("members").alias("key"), F.col("n_name").alias("value")))
+
+
+@query("select 'members' as key, s_name as value, 0 as flag from supplier")
+def bf_reset(spark, d):
+    defs, bits = _filter(spark, d)
+    return bloom.exists(defs, bits.where("false"), _members(spark, d))
+
+
+@query("select 'members' as key, s_name as value, 0 as flag from supplier")
+def bf_rm(spark, d):
+    defs, bits = _filter(spark, d)
+    return bloom.exists(defs.where("key <> 'members'"), bits.where("key <> 'members'"), _members(spark, d))
+
+
+@query(f"with texts as (select s_name as s from supplier), {_HASHED}, {_POS} select 'members' as key, count(distinct bit) as set_bits, count(distinct bit) / 9586::double as density from pos")
+def bf_density(spark, d):
+    return bloom.density(*_filter(spark, d))
+
+
+# --- score-ordered sets
+
+
+@query(f"with {_Z} select key, rn, member, score, value from ranked where rn <= 10")
+def z_top(spark, d):
+    return zset.top(t.zset(spark, d), 10)
+
+
+@query(f"with {_Z} select key, m.member, coalesce(rn, -1) as rank from (select c_mktsegment as key, c_name as member from customer union all select 'BUILDING', s_name from supplier) m left join ranked using (key, member)")
+def z_rank(spark, d):
+    asked = t.zset(spark, d).select("key", "member").union(t.table(spark, d, "supplier").select(F.lit("BUILDING"), "s_name"))
+    return zset.rank(t.zset(spark, d), asked)
+
+
+@query("select count(*) as rank from customer a, (select c_acctbal as s, c_name as m from customer where c_name = 'Customer#000000042') b where c_mktsegment = (select c_mktsegment from customer where c_name = 'Customer#000000042') and (c_acctbal < s or c_acctbal = s and c_name <= m)")
+def z_rank_one(spark, d):
+    key = t.table(spark, d, "customer").where("c_name = 'Customer#000000042'").first()
+    return zset.rank_of(t.zset(spark, d), key["c_mktsegment"] if key else "", "Customer#000000042")
+
+
+@query(f"with {_Z} select key, value from ranked where rn = 7")
+def z_pos(spark, d):
+    return zset.at(t.zset(spark, d), 7)
+
+
+@query(f"with {_Z} select key, rn, value from ranked where rn between 5 and 25")
+def z_range(spark, d):
+    return zset.positions(t.zset(spark, d), 5, 25).select("key", "rn", "value")
+
+
+@query(f"with {_Z} select key, member, score, value from zset where score between 100 and 2500.5")
+def z_rscr(spark, d):
+    return zset.scores(t.zset(spark, d), 100.0, 2500.5)
+
+
+@query(f"with {_Z} select m.key, m.member, score from (select c_mktsegment as key, c_name as member from customer union all select 'BUILDING', s_name from supplier) m left join zset using (key, member)")
+def z_score(spark, d):
+    asked = t.zset(spark, d).select("key", "member").union(t.table(spark, d, "supplier").select(F.lit("BUILDING"), "s_name"))
+    return zset.score(t.zset(spark, d), asked)
+
+
+@query(f"""with {_Z}, new as (select c_mktsegment as key, c_name as member, case when c_custkey % 2 = 0 then c_acctbal else c_acctbal + 100 end as score, 'new' as value from customer where c_custkey % 3 = 0 union all select 'BUILDING', s_name, s_acctbal, 'sup' from supplier)
+select key, member, case when new.score is not null and new.score is distinct from zset.score then new.score else zset.score end as score,
+case when new.score is not null and new.score is distinct from zset.score then new.value else zset.value end as value from zset full join new using (key, member)""")
+def z_add_upsert(spark, d):
+    c = t.table(spark, d, "customer").where("c_custkey % 3 = 0")
+    new = c.select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("member"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).otherwise(F.col("c_acctbal") + 100).alias("score"), F.lit("new").alias("value"))
+    return zset.add(t.zset(spark, d), new.union(t.table(spark, d, "supplier").select(F.lit("BUILDING"), "s_name", "s_acctbal", F.lit("sup"))))
+
+
+@query("""with base as (select event_type as key, user_id::varchar as member, min(value) as score, 'v' as value from events where event_id % 2 = 0 group by all), inc as (select event_type as key, user_id::varchar as member, sum(value) as inc from events group by all)
+select key, member, round(coalesce(score, 0) + coalesce(inc, 0), 4) as score, coalesce(value, member) as value from base full join inc using (key, member)""")
+def z_incr(spark, d):
+    e = t.table(spark, d, "events").where("event_id % 2 = 0")
+    base = e.groupBy(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("member")).agg(F.min("value").alias("score")).withColumn("value", F.lit("v"))
+    return zset.incr(base, t.increments(spark, d)).withColumn("score", F.round("score", 4))
+
+
+@query(f"with {_Z} select key, member, score, value from zset where member not in (select c_name from customer where c_nationkey < 5)")
+def z_rm(spark, d):
+    return zset.remove(t.zset(spark, d), t.table(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("member")))
+
+
+@query(f"with {_Z} select key, member, score, value from zset where key <> 'BUILDING'")
+def z_del(spark, d):
+    return zset.drop(t.zset(spark, d), spark.sql("select 'BUILDING' as key"))
+
+
+# --- point sets
+
+_HASH = f"({_spread_sql('yi')} + {_spread_sql('xi')} * 2)"
+
+
+@query(f"with {_GEO} select key, member, lat, lon, {_HASH}::bigint as geohash from geo where lat between -60 and 70")
+def geo_add_valid(spark, d):
+    shifted = t.raw_points(spark, d).drop("k").withColumn("lat", F.when(F.col("lat").between(-60, 70), F.col("lat")).otherwise(F.lit(89.0)))
+    return geoset.add(t.points(spark, d).where("false"), shifted)
+
+
+@query(f"with {_GEO} select key, member, {_HASH}::bigint as geohash from geo")
+def geo_encode_hash(spark, d):
+    return t.points(spark, d).select("key", "member", "geohash")
+
+
+@query(f"""with {_GEO}, x as (select key, member, {_HASH}::bigint * 8 as w from geo)
+select key, member, {" || ".join(f"substr('0123456789bcdefghjkmnpqrstuvwxyz', ((w >> {50 - 5 * i}) & 31)::int + 1, 1)" for i in range(11))} as code from x""")
+def geo_encode_b32(spark, d):
+    return geoset.encoded(t.points(spark, d))
+
+
+@query(f"with {_GEO} select key, member, round({_lat_sql('yi')}, 6) as lat, round({_lon_sql('xi')}, 6) as lon from geo")
+def geo_get(spark, d):
+    out = geoset.position(t.points(spark, d))
+    return out.withColumns({c: F.round(c, 6) for c in ("lat", "lon")})
+
+
+@query(f"""with {_GEO}, p as (select key, member, k, {_lat_sql("yi")} as y, {_lon_sql("xi")} as x from geo), nxt as (select key, member, lead(member) over (partition by key order by member) as m2 from geo)
+select a.key, a.member as m1, coalesce(m2, 'none') as m2, round(coalesce({_dist_sql("a.y", "a.x", "b.y", "b.x")}, -1), 2) as dist_m from p a join nxt on nxt.member = a.member left join p b on b.key = a.key and b.member = m2""")
+def geo_dist(spark, d):
+    pairs = t.points(spark, d).selectExpr("key", "member as m1", "coalesce(lead(member) over (partition by key order by member), 'none') as m2")
+    return geoset.distance(t.points(spark, d), pairs).withColumn("dist_m", F.round("dist_m", 2))
+
+
+@query(f"with {_GEO}, x as (select key, member, {_dist_sql('lat', 'lon', '21.0285', '105.8542')} as m from geo) select key, member, round(m, 2) as dist_m from x where m <= 3000000")
+def geo_search(spark, d):
+    return geoset.search(t.points(spark, d), 21.0285, 105.8542, 3_000_000).withColumn("dist_m", F.round("dist_m", 2))
+
+
+@query(f"""with {_GEO}, x as (select key, member, {_dist_sql("lat", "lon", "-75.0", "179.5")} as m from geo)
+select key, member, round(m, 2) as dist_m from (select *, row_number() over (partition by key order by m, member) as rn from x where m <= 2000000) where rn <= 3""")
+def geo_search_limit(spark, d):
+    return geoset.search(t.points(spark, d), -75.0, 179.5, 2_000_000, 3).withColumn("dist_m", F.round("dist_m", 2))
+
+
+@query(f"""with {_GEO}, c as (select s_suppkey as centre, -85.0::double + ((s_suppkey * 7907) % 17000) / 100.0::double as lat0, -180.0::double + ((s_suppkey * 104723) % 36000) / 100.0::double as lon0 from supplier),
+x as (select centre, key, member, {_dist_sql("lat", "lon", "lat0", "lon0")} as m from geo, c) select centre, key, member, round(m, 2) as dist_m from x where m <= 500000""")
+def geo_search_multi(spark, d):
+    k = F.col("s_suppkey")
+    centres = t.table(spark, d, "supplier").select(k.alias("centre"), (F.lit(-85.0) + ((k * 7907) % 17000) / F.lit(100.0)).alias("lat0"), (F.lit(-180.0) + ((k * 104723) % 36000) / F.lit(100.0)).alias("lon0"))
+    return geoset.search_many(t.points(spark, d), centres, 500_000).withColumn("dist_m", F.round("dist_m", 2))
+
+
+@query(f"""with {_GEO}, n as (select key, member, dir, least(greatest(yi + dy, 0), 67108863) as yi, (xi + dx) & 67108863 as xi from geo,
+(values ('N', 1, 0), ('S', -1, 0), ('E', 0, 1), ('W', 0, -1), ('NE', 1, 1), ('NW', 1, -1), ('SE', -1, 1), ('SW', -1, -1), ('CT', 0, 0)) v(dir, dy, dx))
+select key, member, dir, {_HASH}::bigint as geohash, round({_lat_sql("yi")}, 6) as lat, round({_lon_sql("xi")}, 6) as lon from n""")
+def geo_nb(spark, d):
+    out = geoset.neighbours(t.points(spark, d))
+    return out.withColumns({c: F.round(c, 6) for c in ("lat", "lon")})
+
+
+@query("select key, member, case when member in (select c_name from customer) then 1 else 0 end as flag from (select c_mktsegment as key, c_name as member from customer union all select 'BUILDING', s_name from supplier)")
+def geo_exists(spark, d):
+    asked = t.points(spark, d).select("key", "member").union(t.table(spark, d, "supplier").select(F.lit("BUILDING"), "s_name"))
+    return geoset.exists(t.points(spark, d), asked)
+
+
+@query(f"with {_GEO} select key, member, lat, lon from geo where k % 4 <> 1")
+def geo_rm(spark, d):
+    return geoset.remove(t.points(spark, d), t.raw_points(spark, d).where("k % 4 = 1")).drop("geohash")
+
+
+@query(f"with {_GEO} select key, member, lat, lon from geo where key <> 'MACHINERY'")
+def geo_del(spark, d):
+    return geoset.drop(t.points(spark, d), spark.sql("select 'MACHINERY' as key")).drop("geohash")
+
+
+# --- field hashes
+
+
+@query(f"with {_H} select key, field, case when field = '0' then 'new' else value end as value from h union all select distinct key, 'extra', 'new' from h")
+def h_set(spark, d):
+    own = t.fields(spark, d).select("key").distinct()
+    return fields.set_(t.fields(spark, d), own.select("key", F.explode(F.array(F.lit("0"), F.lit("extra"))).alias("field"), F.lit("new").alias("value")))
+
+
+@query(f"with {_H} select k.key, k.field, value from (select distinct key, '1' as field from h union all select distinct key, 'none' from h) k left join h using (key, field)")
+def h_get(spark, d):
+    own = t.fields(spark, d).select("key").distinct()
+    return fields.get(t.fields(spark, d), own.select("key", F.explode(F.array(F.lit("1"), F.lit("none"))).alias("field")))
+
+
+@query("select c_custkey::varchar as key, '{\"name\":\"' || c_name || '\",\"segment\":\"' || c_mktsegment || '\"}' as json from customer")
+def h_all(spark, d):
+    tall = t.table(spark, d, "customer").selectExpr("cast(c_custkey as string) as key", "stack(2, 'segment', c_mktsegment, 'name', c_name) as (field, value)")
+    return fields.all_json(tall)
+
+
+@query(f"with {_H} select key, field, value from h where field <> '0'")
+def h_rm(spark, d):
+    return fields.remove(t.fields(spark, d), t.fields(spark, d).where("field = '0'"))
+
+
+@query(f"with {_H} select key, field, value from h where key not in (select conv_id::varchar from conversations where conv_id % 2 = 0)")
+def h_del(spark, d):
+    return fields.drop(t.fields(spark, d), t.table(spark, d, "conversations").where("conv_id % 2 = 0").select(F.col("conv_id").cast("string").alias("key")).distinct())
+
+
+# --- segments, sketch, sizes, eviction
+
+_CELL = "cells as (select s, w & 16777215 as cell from hashed union all select s, (w >> 16) & 16777215 from hashed)"
+
+
+@query(f"with texts as (select c_name as s from customer), {_HASHED} select (xor(w, w >> 16) & 15)::bigint as segment, count(*) as n_keys, sum(strlen(c_name) + strlen(c_mktsegment) + case when c_custkey % 3 <> 0 then 8 else 0 end)::bigint as bytes from hashed join customer on c_name = s group by 1")
+def segment_stats(spark, d):
+    return keyspace.segments(t.kv(spark, d), 16)
+
+
+@query(f"""with texts as (select distinct 'c' || o_custkey as s from orders), {_HASHED}, {_CELL}, n as (select 'c' || o_custkey as s, count(*) as n from orders group by 1),
+cnt as (select cell, sum(n) as cnt from cells join n using (s) group by cell) select s as key, min(cnt)::bigint as freq from cells join cnt using (cell) group by s""")
+def sketch_freq(spark, d):
+    used = t.table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("key"))
+    return keyspace.frequency(keyspace.sketch(used), used)
+
+
+@query(f"""with texts as (select distinct 'c' || o_custkey as s from orders), {_HASHED}, {_CELL}, ops as (select 'c' || o_custkey as s, o_orderkey // 4000 as epoch from orders),
+total as (select (max(o_orderkey) + 1) // 4000 as e from orders), n as (select cell, epoch, count(*) as n from ops join cells using (s) group by all),
+grid as (select cell, epoch from (select distinct cell from cells), (select unnest(range(0, e + 1)) as epoch from total)),
+folded as (select cell, list(coalesce(n, 0) order by epoch) as l from grid left join n using (cell, epoch) group by cell)
+select cell, (list_reduce(l[:-2], lambda a, c: (a + c) >> 1, 0::bigint) + l[-1])::bigint as cnt from folded""")
+def sketch_aged(spark, d):
+    used = t.table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("key"), (F.col("o_orderkey") + 1).alias("op"))
+    return keyspace.aged(used, 4000)
+
+
+@query(f"""with {_KV}, {_H} select 'kv' as kind, key, (strlen(key) + strlen(value) + case when expire_at is not null then 8 else 0 end)::bigint as bytes from kv
+union all select 'zset', c_mktsegment, sum(strlen(c_name) + strlen(c_custkey::varchar) + 176)::bigint from customer group by 2
+union all select 'geo', c_mktsegment, sum(strlen(c_name) + 192)::bigint from customer group by 2
+union all select 'hash', key, sum(strlen(field) + strlen(value))::bigint from h group by 2 union all select 'bloom', 'members', 1207""")
+def memory_usage(spark, d):
+    filters = bloom.init(spark.sql("select 'members' as key, 1000 as n, 0.01D as p"))
+    return keyspace.memory({"kv": t.kv(spark, d), "zset": t.zset(spark, d), "geo": t.points(spark, d), "hash": t.fields(spark, d), "bloom": filters})
+
+
+@query("""with x as (select o_custkey::varchar as key, sum(strlen(o_orderpriority))::bigint as bytes, count(*) as freq, max(o_orderkey) as seq from orders group by 1),
+run as (select *, coalesce(sum(bytes) over (order by freq, seq, key rows between unbounded preceding and 1 preceding), 0) as before from x)
+select key, bytes, freq from run where before < (select sum(bytes) - 60000 from x)""")
+def evict_budget(spark, d):
+    o = t.table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("key"))
+    return keyspace.evict(o.agg(F.sum(F.octet_length("o_orderpriority")).alias("bytes"), F.count("*").alias("freq"), F.max("o_orderkey").alias("seq")), 60_000)
+
+
+# --- the command log
+
+
+def _mixed_log(spark, d):
+    blank = F.when(F.col("event_id") % 7 == 0, F.lit(" ")).otherwise(F.col("user_id").cast("string"))
+    verbs = ["PUT", "GET", "Z_ADD", "H_SET", "GEO_DIST", "CLEAR", "NOPE"]
+    verb = F.get(F.array(*map(F.lit, verbs)), (F.col("event_id") % len(verbs)).cast("int"))
+    own = t.table(spark, d, "events").select(F.col("event_id").alias("seq"), verb.alias("command"), F.when(F.col("event_id") % 11 != 0, F.col("user_id").cast("string")).alias("key"), blank.alias("value"))
+    none = {n: F.lit(None).cast(k) for n, k in (f.split(" ") for f in cmd.SCHEMA.split(", ")) if n not in own.columns}
+    return own.withColumns(none).withColumns({"z_member": F.when(F.col("seq") % 2 == 0, "m"), "geo_member": F.lit("a"), "h_field": F.lit("f")})
+
+
+@query("""with e as (select event_id as seq, ['PUT', 'GET', 'Z_ADD', 'H_SET', 'GEO_DIST', 'CLEAR', 'NOPE'][event_id % 7 + 1] as command, event_id % 11 = 0 as nokey, event_id % 7 = 0 as noval, event_id % 2 <> 0 as nomem from events)
+select seq, command, case when command = 'NOPE' then 'unknown command' when command <> 'CLEAR' and nokey then 'blank key' when command in ('PUT', 'Z_ADD', 'H_SET') and noval then 'blank value'
+when command = 'Z_ADD' and nomem then 'blank z_member' when command = 'GEO_DIST' then 'missing geo_member2' else 'valid' end as verdict from e""")
+def cmd_validate(spark, d):
+    good, bad = cmd.validate(_mixed_log(spark, d))
+    return good.select("seq", "command", F.lit("valid").alias("verdict")).union(bad.select("seq", "command", "reason"))
+
+
+@query("""with e as (select event_id as seq, user_id::varchar as key, props as value, event_type = 'error' as del, event_id % 5 = 0 as nx from events),
+last as (select key, max(seq) filter (del) as d from e group by key), after as (select e.* from e join last using (key) where not del and (d is null or seq > d)),
+x as (select key, max(seq) filter (not nx) as put, min(seq) filter (nx) as nx from after group by key) select x.key, value, seq from x join e on e.seq = coalesce(x.put, x.nx)""")
+def cmd_replay_kv(spark, d):
+    return cmd.replay_kv(t.kv_log(spark, d)).drop("expire_at")
+
+
+@query("""with e as (select event_id as seq, user_id::varchar as member, value, event_type as ty from events), gone as (select member, max(seq) filter (ty = 'error') as g from e group by member),
+a as (select e.* from e join gone using (member) where ty <> 'error' and (g is null or seq > g)), p as (select member, max(seq) filter (ty = 'purchase') as p from a group by member)
+select 'z' as key, member, round(sum(a.value), 4) as score, coalesce(max(p)::varchar, member) as value from a join p using (member) where p is null or seq >= p group by member""")
+def cmd_replay_zset(spark, d):
+    return cmd.replay_zset(t.zset_log(spark, d)).withColumn("score", F.round("score", 4))
+
+
+@query("select event_id, 'PUT' as command, user_id::varchar as key, props || '|x' as value from events")
+def cmd_parse_text(spark, d):
+    e = t.table(spark, d, "events").select("event_id", F.array(F.lit("SET"), F.col("user_id").cast("string"), F.concat("props", F.lit("|x"))).alias("tokens"))
+    return codec.parse(e.select("event_id", codec.request(F.col("tokens")).alias("text"))).select("event_id", "command", "key", F.get("args", F.lit(0)).alias("value"))
