@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, blocks, mix64, text_parts
+from .common import ALNUM, Words, blocks, mix64, stage, text_parts
 
 #: Words of a window, and from one window to the next; labelled rows that are learnt from, and bytes of such a text, at most.
 WINDOW, STRIDE, SAMPLE, SAMPLE_BYTES = 32, 24, 3000, 1 << 15
@@ -271,7 +271,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     sizes = {r["__y"]: r["count"] for r in marked.groupBy("__y").count().collect()}
     rate = F.when(F.col("__y") == 1, min(1.0, 0.7 * sample / max(1, sizes.get(1, 0)))).otherwise(min(1.0, 0.7 * sample / max(1, sizes.get(0, 0))))
     u = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = marked.withColumn("__u", u).where(F.col("__u") < rate)
+    # at most 2 * sample rows, so it may be broadcast and no text is shuffled
+    chosen = F.broadcast(stage(marked.withColumn("__u", u).where(F.col("__u") < rate).orderBy("__u", "doc_id").limit(2 * sample), "chosen"))
     rows = docs.select("doc_id", F.col(text).alias("__text")).where(F.col("__text").isNotNull() & (F.octet_length("__text") <= SAMPLE_BYTES)).join(chosen, "doc_id")
     got: dict[int, list] = {0: [], 1: []}
     for r in rows.orderBy("__u", "doc_id").limit(2 * sample).collect():
