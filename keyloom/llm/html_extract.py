@@ -2,13 +2,16 @@
 
 For each host, a few pages (those of the smallest hashes) are parsed, and
 their trees are aligned to that of the first by simple tree matching. Text at
-aligned nodes that is the same on most pages is the host's template; what
-varies is content. The wrapper of a host, its template texts by path, is then
-applied to every page of it.
-
-Marked-up parts need no wrapper: menus, headers, footers, asides, forms and the
-like are dropped by tag, role and class, and where a page has an article (or
-main) element its text is the content, and never part of a template.
+aligned nodes that is the same on most pages is the host's template; nodes
+whose text differs, or that have no partner, are slots. The wrapper of a host
+is its template and the path of the element that holds its slots; it is then
+applied to every page of it. Hosts of one page share a wrapper, induced from a
+few of their pages.
+
+Menus, headers, footers, asides, forms and the like, marked by tag, role and
+class, are neither template nor slots. Where the slots lie in an article (or
+main) element, all of its text is content. Markup alone decides on a page
+without the wrapper's path, and where there is no wrapper.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,11 @@ from .common import stage
 
 #: Pages of a host that its wrapper is induced from; pages that must share a text, at least, and their share.
 SAMPLE, LEAST, SHARE = 12, 3, 0.7
+#: Blocks nested deeper are one leaf for alignment. An alignment goes into so many pairs of nested blocks to weigh them, others are weighed by their
+#: whole texts; lists of children with over WIDE pairs are paired by position.
+DEPTH, NESTED, WIDE = 40, 10_000, 1 << 22
+#: Stands for the hosts of one page; no host has this name.
+LONE = "/"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"'>]+)")
@@ -47,10 +56,17 @@ _NAMES = set(
 
 
 class Node:
-    __slots__ = ("children", "drop", "tag")
+    __slots__ = ("children", "drop", "label", "tag")
 
-    def __init__(self, tag: str, drop: bool = False):
+    def __init__(self, tag: str, drop: bool = False, attributes: str = ""):
         self.tag, self.drop, self.children = tag, drop, []
+        self.label = tag + _names(attributes) if attributes else tag
+
+
+def _names(attributes: str) -> str:
+    """Class and id for a path, without digits, which tend to number pages."""
+    found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes) if m[1]]
+    return "".join(f".{re.sub(r'[^a-z]+', '-', v.lower())}" for k, v in sorted(found) if k in ("class", "id"))
 
 
 def _is_boilerplate(tag: str, attributes: str) -> bool:
@@ -116,7 +132,7 @@ def parse(source: str) -> Node:
                     break
         if tag in ("html", "body") and any(x.tag == tag for x in stack):
             continue
-        node = Node(tag, _is_boilerplate(tag, m[3]))
+        node = Node(tag, _is_boilerplate(tag, m[3]), m[3])
         stack[-1].children.append(node)
         if tag in _RAW:
             end = _RAW[tag].search(source, at)
@@ -169,12 +185,12 @@ def _containers(root: Node) -> list[Node]:
     return found["article"] or found["main"]
 
 
-def _blocks(root: Node) -> list[tuple[str, str, float]]:
-    """(path, text, share of it in links) of the innermost blocks of a page without dropped parts."""
+def _blocks(root: Node, above: str = "") -> list[tuple[str, str, float]]:
+    """(path, text, share of it in links) of the innermost blocks of a page, or of a part below a path, without dropped parts."""
     out: list[tuple[str, str, float]] = []
     parts: list[str] = []
     linked: list[str] = []
-    path: list[str] = []
+    path: list[str] = [above] if above else []
 
     def flush() -> None:
         text = joined(parts)
@@ -192,98 +208,192 @@ def _blocks(root: Node) -> list[tuple[str, str, float]]:
             parts.append(x)
             if in_link:
                 linked.append(x)
+        elif x.tag == "br":
+            parts.append(" ")
         elif not (x.drop or x.tag == "header"):
             if x.tag in _BLOCK or x.tag == "#root":
                 flush()
-                path.append(x.tag)
+                path.append(x.label)
                 todo.append((x, in_link, 1))
             todo.extend((c, in_link or x.tag == "a", 0) for c in reversed(x.children))
     return out
 
 
 class Shape:
-    """A tree of blocks for alignment: tag, own text, children. Article and main are leaves without text: content."""
-
-    __slots__ = ("children", "path", "size", "tag", "text")
-
-    def __init__(self, node: Node, path: str = ""):
-        self.tag, self.path, self.children, own = node.tag, f"{path}/{node.tag}".lstrip("/"), [], []
-        if node.tag not in ("article", "main"):
-            for c in node.children:
-                if isinstance(c, str):
-                    own.append(c)
-                elif c.drop or c.tag == "header":
-                    continue
-                elif c.tag in _BLOCK and c.tag != "br":
-                    self.children.append(Shape(c, self.path))
-                else:
-                    _walk(c, own, False)
-        self.text = joined(own)
-        self.size = 1 + sum(c.size for c in self.children)
+    """A tree of blocks for alignment, without dropped parts: tag, path of labels, own texts around the children, children."""
+
+    __slots__ = ("children", "parts", "path", "tag", "text")
+
+    def __init__(self, node: Node, above: str = "", depth: int = 0, inside: bool = False):
+        self.tag, self.path, self.children, own = node.tag, f"{above}/{node.label}".lstrip("/"), [], [[]]
+        inside = inside or node.tag in ("article", "main")
+        todo = list(reversed(node.children))
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                own[-1].append(c)
+            elif c.drop or c.tag == "header" and not inside:
+                continue
+            elif c.tag == "br":
+                own[-1].append(" ")
+            elif c.tag not in _BLOCK:  # what is inline belongs to the block around it
+                todo.extend(reversed(c.children))
+            elif depth < DEPTH:
+                self.children.append(Shape(c, self.path, depth + 1, inside))
+                own.append([])
+            else:
+                _walk(c, own[-1], inside)
+        self.parts = [t for t in map(joined, own) if t]
+        self.text = " ".join(self.parts)
 
+    def whole(self) -> str:
+        return "\n".join([self.text, *(c.whole() for c in self.children)])
 
-def align(a: Shape, b: Shape) -> list[tuple[Shape, Shape]]:
-    """Simple tree matching: the most pairs of nodes that keep order and ancestry. The roots' tags are equal."""
-    memo: dict[tuple[int, int], int] = {}
 
-    def weight(x: Shape, y: Shape) -> int:
-        if x.tag != y.tag:
-            return 0
-        key = (id(x), id(y))
-        if key not in memo:
-            memo[key] = 1 + int(bool(x.text) and x.text == y.text) + table(x, y)[-1][-1]
-        return memo[key]
+def _codes(x: list, y: list) -> tuple[np.ndarray, np.ndarray]:
+    """Equal numbers for equal values of two lists."""
+    of: dict = {}
+    return tuple(np.array([of.setdefault(v, len(of)) for v in part], np.int64) for part in (x, y))
 
-    def table(x: Shape, y: Shape) -> list[list[int]]:
-        m = [[0] * (len(y.children) + 1)]
-        for c in x.children:
-            row, above = [0], m[-1]
-            for j, d in enumerate(y.children):
-                row.append(max(row[j], above[j + 1], above[j] + weight(c, d)))
-            m.append(row)
-        return m
 
-    pairs, todo = [], [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        pairs.append((x, y))
-        m, i, j = table(x, y), len(x.children), len(y.children)
+def align(a: Shape, b: Shape) -> list[tuple[Shape, Shape]]:
+    """Simple tree matching: the most pairs of nodes, those of equal text twice, that keep order and ancestry.
+
+    The roots' tags are equal. The weights of all pairs of two lists of
+    children are made at once; only nested pairs go deeper.
+    """
+    memo: dict[tuple[int, int], tuple[int, list]] = {}
+    left = NESTED
+
+    def match(x: Shape, y: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
+        """The greatest weight of pairs of children, and those pairs."""
+        nonlocal left
+        key = (id(x), id(y))
+        if key in memo:
+            return memo[key]
+        c, d = x.children, y.children
+        if len(c) * len(d) > WIDE:
+            pairs = [(p, q) for p, q in zip(c, d, strict=False) if p.tag == q.tag]
+            memo[key] = len(pairs), pairs
+            return memo[key]
+        tags, texts = _codes([s.tag for s in c], [s.tag for s in d]), _codes([s.text for s in c], [s.text for s in d])
+        like = tags[0][:, None] == tags[1][None, :]
+        full = np.array([bool(s.text) for s in c], bool)[:, None]
+        w = like * (1 + (full & (texts[0][:, None] == texts[1][None, :])))
+        deep = np.argwhere(like & np.array([bool(s.children) for s in c], bool)[:, None] & np.array([bool(s.children) for s in d], bool)[None, :])
+        if len(deep) <= left:
+            left -= len(deep)
+            for i, j in deep.tolist():
+                w[i, j] += match(c[i], d[j])[0]
+        else:
+            wholes = _codes([s.whole() for s in c], [s.whole() for s in d])
+            w += like & (wholes[0][:, None] == wholes[1][None, :])
+        m = np.zeros((len(c) + 1, len(d) + 1), np.int64)
+        for i in range(len(c)):
+            m[i + 1, 1:] = np.maximum.accumulate(np.maximum(m[i, 1:], m[i, :-1] + w[i]))
+        pairs, i, j = [], len(c), len(d)
         while i and j:
-            w = weight(x.children[i - 1], y.children[j - 1])
-            if w and m[i][j] == m[i - 1][j - 1] + w:
+            if w[i - 1, j - 1] and m[i, j] == m[i - 1, j - 1] + w[i - 1, j - 1]:
                 i, j = i - 1, j - 1
-                todo.append((x.children[i], y.children[j]))
-            elif m[i][j] == m[i - 1][j]:
+                pairs.append((c[i], d[j]))
+            elif m[i, j] == m[i - 1, j]:
                 i -= 1
             else:
                 j -= 1
-    return pairs
+        memo[key] = int(m[-1, -1]), pairs
+        return memo[key]
+
+    out = [(a, b)]
+    for x, y in out:
+        out.extend(match(x, y)[1])
+    return out
+
+
+def _nodes(x: Shape) -> list[Shape]:
+    out = [x]
+    for s in out:
+        out.extend(s.children)
+    return out
+
 
+def _holder(slots: Counter, inner: set[str]) -> str:
+    """The path of the element that holds the slots: an article or main with most of their text, or the deepest that holds all."""
+    held: Counter = Counter()
+    for path, size in slots.items():
+        steps = path.split("/")
+        for k in range(1, len(steps) + 1):
+            held["/".join(steps[:k])] += size
+    total = sum(slots.values())
+    marked = [p for p, n in held.items() if re.split(r"[./]", p.rpartition("/")[2])[0] in ("article", "main") and 2 * n > total]
+    if marked:
+        return min(marked, key=lambda p: (-p.rpartition("/")[2].startswith("article"), p.count("/"), p))
+    return max((p for p, n in held.items() if n == total and p in inner), key=len, default="")
 
-def induce(sources: list[str]) -> list[str]:
-    """The template of pages of a host: path and text, by a tab, of nodes whose text is the same on most of them."""
+
+@dataclass(frozen=True)
+class Wrapper:
+    """holder: path of the element with the slots, empty if unknown; template: path and text, by a tab, of constant nodes."""
+
+    holder: str = ""
+    template: frozenset[str] = frozenset()
+
+
+def induce(sources: list[str]) -> Wrapper:
+    """The wrapper of pages of a host: what is the same on most of them, and where the rest is. One page alone has none."""
     shapes = [Shape(parse(s)) for s in dict.fromkeys(sources)]  # copies say nothing about what varies
-    if len(shapes) < LEAST:
-        return []
+    if len(shapes) < 2:
+        return Wrapper()
     shared: Counter = Counter()
-    texts = {}
+    slots: Counter = Counter()
+    texts, inner = {}, {x.path for s in shapes for x in _nodes(s) if x.children}
+    first = _nodes(shapes[0])
     for other in shapes[1:]:
-        for x, y in align(shapes[0], other):
-            if x.text and x.text == y.text:
-                shared[id(x)] += 1
-                texts[id(x)] = f"{x.path}\t{x.text}"
-    return sorted({texts[k] for k, n in shared.items() if n + 1 >= max(LEAST, SHARE * len(shapes))})
+        pairs = align(shapes[0], other)
+        same = set()
+        for x, y in pairs:
+            if x.text == y.text:
+                same |= {id(x), id(y)}
+                if x.text:
+                    shared[id(x)] += 1
+                    texts[id(x)] = {f"{x.path}\t{t}" for t in x.parts}
+        for x in (*first, *_nodes(other)):  # nodes without a partner, or of another text
+            if x.text and id(x) not in same:
+                slots[x.path] += len(x.text)
+    template = {t for k, n in shared.items() if n + 1 >= max(LEAST, SHARE * len(shapes)) for t in texts[k]}
+    return Wrapper(_holder(slots, inner), frozenset(template))
+
+
+def _at(root: Node, path: str) -> list[Node]:
+    """The nodes at a path of labels, without dropped parts."""
+    found, todo = [], [(root, root.label)]
+    while todo:
+        x, at = todo.pop()
+        if at == path:
+            found.append(x)
+            continue
+        for c in reversed(x.children):
+            if isinstance(c, str) or c.drop:
+                continue
+            here = f"{at}/{c.label}" if c.tag in _BLOCK else at
+            if path == here or path.startswith(here + "/"):
+                todo.append((c, here))
+    return found
 
 
-def main_text(source: str | None, template: frozenset[str] = frozenset()) -> str:
-    """The content of a page, given the template of its host."""
+def main_text(source: str | None, wrapper: Wrapper = Wrapper(), spare: Wrapper = Wrapper()) -> str:
+    """The content of a page by the wrapper of its host, by a spare one if that has no holder, else by markup."""
     if not source:
         return ""
     root = parse(source)
-    found = _containers(root)
-    if found:
+    wrapper = wrapper if wrapper.holder else Wrapper(spare.holder, wrapper.template)
+    found = _at(root, wrapper.holder) if wrapper.holder else []
+    if not found:
+        found = _containers(root) or [root]
+    if found[0].tag in ("article", "main"):
         return max((_text(x, True) for x in found), key=len)
-    return " ".join(t for p, t, links in _blocks(root) if f"{p}\t{t}" not in template and links <= 0.5)
+    above = wrapper.holder.rpartition("/")[0]
+    parts = [x for node in found for x in _blocks(node, "" if node is root else above)]
+    return " ".join(t for p, t, links in parts if f"{p}\t{t}" not in wrapper.template and links <= 0.5)
 
 
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -295,31 +405,38 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     A null or empty html gives an empty text. A null url belongs to the host
     "". Repeated rows give repeated rows; equal pages count once in a wrapper.
-    A host with under LEAST different pages has an empty template. Other
-    columns are ignored; an empty table gives an empty table.
+    A host with under LEAST different pages has an empty template. A host of
+    one page, or whose pages don't differ, uses the wrapper of the hosts of one
+    page. Other columns are ignored; an empty table gives an empty table.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     # a few pages of each host: a hash below a rate, then the smallest; only ids are grouped
     light = rows.where("html is not null").select("host", "page_id", F.xxhash64("page_id", "url").alias("h"))
     sizes = stage(light.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    lone = sizes.where("n = 1").agg(F.count("*").alias("lone"))  # one row
+    pool = light.join(sizes, "host").join(F.broadcast(lone))
+    pool = pool.select("host", "page_id", "h", F.when(F.col("n") == 1, LONE).otherwise(F.col("host")).alias("pool"), F.when(F.col("n") == 1, F.col("lone")).otherwise(F.col("n")).alias("n"))
     u = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = light.join(sizes, "host").where(u <= F.lit(4.0 * sample) / F.col("n"))
-    few = few.withColumn("r", F.expr("row_number() over (partition by host order by h, page_id)")).where(F.col("r") <= sample)
-    few = stage(few.select("page_id", "host", "h").distinct(), "few")
+    few = pool.where(u <= F.lit(4.0 * sample) / F.col("n"))
+    few = few.withColumn("r", F.expr("row_number() over (partition by pool order by h, page_id)")).where(F.col("r") <= sample)
+    few = stage(few.select("page_id", "host", "h", "pool").distinct(), "few")
     chosen = rows.withColumn("h", F.xxhash64("page_id", "url")).join(few, ["page_id", "host", "h"])
 
     def wrapper(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("h", kind="stable")
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [induce(group["html"].tolist()[: 2 * sample])]})
+        made = induce(group["html"].tolist()[: 2 * sample])
+        return pd.DataFrame({"host": [group["pool"].iloc[0]], "holder": [made.holder], "template": [sorted(made.template)]})
 
-    wrappers = stage(chosen.select("host", "h", "html").groupBy("host").applyInPandas(wrapper, "host string, template array<string>"), "wrappers")
+    wrappers = stage(chosen.select("pool", "h", "html").groupBy("pool").applyInPandas(wrapper, "host string, holder string, template array<string>"), "wrappers")
+    spare = next((Wrapper(r["holder"]) for r in wrappers.where(F.col("host") == LONE).collect()), Wrapper())  # one row
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                made = [main_text(s, frozenset(t or ())) for s, t in zip(part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True)]
+                known = {h: Wrapper(p or "", frozenset(t or ())) for h, p, t in zip(*(part.column(c).to_pylist() for c in ("host", "holder", "template")), strict=True)}
+                made = [main_text(s, known[h], spare) for s, h in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), strict=True)]
                 made = [t.encode("utf-8", "replace").decode() for t in made]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(made, pa.string()), pa.array(np.array([len(t) for t in made], np.int64))], names=["page_id", "url", "text", "n_chars"]

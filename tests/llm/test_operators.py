@@ -275,6 +275,24 @@ def test_html(spark):
     alone = "My Site T11 body 11 Contact"
     assert got == [(i, f"T{i} body {i}", 9) for i in range(9)] + [(9, "", 0), (10, "", 0)] + [(11, alone, len(alone))] * 2
     assert html_extract.main_text("<div>" * 3000 + "deep") == "deep"
+    assert html_extract.induce(["<div>" * 3000 + "deep", "<div>" * 3000 + "sea", "<p>x" * 5000, "<div><p>x</p></div>" * 3000]).template == frozenset()
+
+
+def test_wrapper():
+    """The slots decide where the content is, not the names of elements."""
+    page = "<body><div class=top>Site<p>All rights</p>reserved</div><div class=a1><h1>T{0}</h1>Share<p>one {0}<p>two<br>{0}</div><section><article>teaser</article></section></body>"
+    made = html_extract.induce([page.format(i) for i in range(4)])
+    assert made.holder == "#root/body/div.a-" and f"{made.holder}\tShare" in made.template and "#root/body/section/article\tteaser" in made.template
+    assert html_extract.main_text(page.format(9), made) == "T9 one 9 two 9"
+    assert html_extract.main_text(page.format(9)) == "teaser"  # by markup alone
+    assert html_extract.main_text(page.format(9), html_extract.Wrapper(), html_extract.Wrapper(made.holder)) == "T9 Share one 9 two 9"
+    post = "<body><p>Home</p><article><h1>T{0}</h1><p>Same</p><p>b {0}</p></article></body>"
+    made = html_extract.induce([post.format(i) for i in range(4)])
+    assert made.holder == "#root/body/article" and html_extract.main_text(post.format(5), made) == "T5 Same b 5"
+    assert html_extract.main_text("<body><main>other</main></body>", made) == "other"  # a page of another build
+    assert html_extract.induce([post.format(1)] * 3) == html_extract.Wrapper()
+    a, b = (html_extract.Shape(html_extract.parse(f"<ul><li>{x}<li>k<li>{x}{x}</ul>")) for x in "pq")
+    assert [(x.text, y.text) for x, y in html_extract.align(a, b) if x.tag == "li"] in ([("pp", "qq"), ("k", "k"), ("p", "q")], [("p", "q"), ("k", "k"), ("pp", "qq")])
 
 
 def test_chat(spark):
