@@ -148,11 +148,10 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, sample: int = S
     points = stage(able.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit")), "points")
     most = points.groupBy("label", "dim").count().agg(F.max("count").alias("n")).first()["n"] or 0
     centroids: dict[int, np.ndarray] = {}
-    if most > CELL:
-        taken = points.select("dim", "unit", F.xxhash64("key").alias("h")).orderBy("h").limit(sample).collect()
-        for dim in {r["dim"] for r in taken}:
-            x = np.frombuffer(b"".join(r["unit"] for r in taken if r["dim"] == dim), np.float64).reshape(-1, dim)
-            centroids[dim] = spherical_kmeans(x, min(CENTROIDS, math.ceil(most / CELL)))
+    taken = points.select("dim", "unit", F.xxhash64("key").alias("h")).orderBy("h").limit(sample).collect()
+    for dim in {r["dim"] for r in taken}:
+        x = np.frombuffer(b"".join(r["unit"] for r in taken if r["dim"] == dim), np.float64).reshape(-1, dim)
+        centroids[dim] = spherical_kmeans(x, min(CENTROIDS, max(2, math.ceil(most / CELL))))
     cells = stage(points.mapInArrow(_assign(centroids, threshold), "rep long, w long, label string, dim int, unit binary, cell int, home boolean"), "cells")
     place = ["label", "dim", "cell"]
     sizes = cells.groupBy(*place).agg(F.sum(F.col("home").cast("int")).alias("nh"), F.count("*").alias("na"))
