@@ -127,7 +127,8 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     The counts of languages and the document frequencies come from all rows.
     The weights come from up to `sample` rows, shared out evenly among the
-    languages and taken by hashes of `key`.
+    languages and taken by hashes of `key`: of each language the first with
+    letters, whatever the sizes of the others.
     """
     rows = rows.where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -151,7 +152,9 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
     idf = np.array([math.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(SLOTS)])
 
     each = max(2, sample // len(langs))
-    rate = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, 1.2 * each / sizes[lang] + 0.001))])[F.col("lang")]
+    # somewhat over `each` rows of a language pass, by a margin for chance, so their number doesn't grow with the table
+    some = 1.2 * each + 6 * math.sqrt(each) + 20
+    rate = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, some / sizes[lang]))])[F.col("lang")]
     u = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     taken = rows.withColumn("u", u).where(F.col("u") < rate)
 
@@ -169,10 +172,10 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["u"], pa.float64()), pa.array(out["slots"], pa.binary()), pa.array(out["values"], pa.binary())], names=list(out))
 
     made = taken.select("lang", "u", "text").mapInArrow(features, "lang string, u double, slots binary, values binary")
+    first = made.withColumn("r", F.expr("row_number() over (partition by lang order by u, slots, values)")).where(F.col("r") <= each)
     got: dict[str, list] = {lang: [] for lang in langs}
-    for r in made.orderBy("u", "lang").limit(2 * sample).collect():
-        if len(got[r["lang"]]) < each:
-            got[r["lang"]].append((np.frombuffer(r["slots"], np.int16).astype(np.int64), np.frombuffer(r["values"], np.float32).astype(np.float64)))
+    for r in sorted(first.collect(), key=lambda r: r["r"]):
+        got[r["lang"]].append((np.frombuffer(r["slots"], np.int16).astype(np.int64), np.frombuffer(r["values"], np.float32).astype(np.float64)))
     learn, check = [], []
     for y, lang in enumerate(langs):
         for i, x in enumerate(got[lang]):

@@ -216,6 +216,17 @@ def test_language_id(spark):
     assert langid.train(odd.select(F.col("doc_id").alias("key"), "text", "lang")) is None
 
 
+def test_language_id_rare(spark, monkeypatch):
+    """A large language leaves a rare one its share of the rows that are learnt from."""
+    learnt, ftrl = [], langid.ftrl
+    monkeypatch.setattr(langid, "ftrl", lambda xs, ys, *a: learnt.extend(ys) or ftrl(xs, ys, *a))
+    rows = spark.range(30_010).select(F.col("id").alias("key"), F.when(F.col("id") < 10, "xyz zyx").otherwise("abc cba").alias("text"), F.when(F.col("id") < 10, "rare").otherwise("big").alias("lang"))
+    rows = rows.unionByName(spark.createDataFrame([(i, "12 !", "rare") for i in range(40_000, 40_020)], rows.schema))  # nothing to learn from
+    model = langid.train(rows, sample=10)
+    assert [learnt.count(y) for y in range(2)] == [4, 4]  # of 5 each; the fifth fits the temperature
+    assert [r.lang_pred for r in langid.predict(documents(spark, ["xyz"]), model, ["doc_id"]).collect()] == ["rare"]
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     rows = queries.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
