@@ -1,8 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 Inputs of a word are an embedding of the word and the mean of embeddings of
-its character 3-grams (both hashed). All overlapping windows of a text are
-scored; the text's score is that of its most toxic window, both when learning
+its character 3-grams (both hashed). All overlapping windows of a text, one
+from each word, are scored; the text's score is that of its most toxic window, both when learning
 (the gradient goes through that window) and when scoring. Inputs are projected
 once for each different word of a block of texts.
 """
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, Words, blocks, mix64, stage, text_parts
 
-#: Words of a window, and from one window to the next; labelled rows that are learnt from, and bytes of such a text, at most.
-WINDOW, STRIDE, SAMPLE, SAMPLE_BYTES = 32, 24, 3000, 1 << 15
+#: Words of a window; labelled rows that are learnt from, and bytes of such a text, at most.
+WINDOW, SAMPLE, SAMPLE_BYTES = 32, 3000, 1 << 15
+#: Windows that are worked on at once.
+CHUNK = 2000
 #: Slots of words and of 3-grams, size of an embedding, of a direction's state, of the attention.
 WORDS, GRAMS, EMBED, STATE, ATTEND = 1 << 15, 1 << 13, 6, 8, 6
 _EDGE = 0x20
@@ -117,6 +119,50 @@ class Network:
             keep |= {"h": h, "a": a, "e": e, "pooled": pooled}
         return pooled @ p["wo"] + p["bo"][0]
 
+    def whole(self, x: np.ndarray, words: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Logits of windows of WINDOW words from the given starts in words: those of forward(), with windows side by side in memory."""
+        p, out = self.p, np.empty(len(start), np.float32)
+        # sigmoid(v) is (tanh(v / 2) + 1) / 2; the halves of r's are in those of u that it is multiplied with
+        half = np.concatenate([np.full(2 * STATE, 0.5, np.float32), np.ones(STATE, np.float32)])
+        line = [np.ascontiguousarray(((x @ p[f"w{d}"] + p[f"c{d}"]) * half).T) for d in "fb"]
+        u = [np.ascontiguousarray((p[f"u{d}"] * np.float32(0.5)).T) for d in "fb"]
+        wa, ba = np.ascontiguousarray(p["wa"].T), p["ba"][:, None]
+        room: dict[int, tuple] = {}
+        for s in range(0, len(start), CHUNK):
+            at = start[s : s + CHUNK]
+            first, span = int(at[0]), int(at[-1] - at[0]) + 1
+            own = words[first : first + span + WINDOW - 1]
+            near = span < 1.4 * len(at)  # cheaper with the starts between them, across rows, than picked one by one
+            size = span if near else len(at)
+            if size not in room:
+                room = {size: tuple(np.empty((*k, size), np.float32) for k in ((WINDOW, 2 * STATE), (WINDOW, ATTEND), (3 * STATE,), (STATE,)))}
+            h, a, hu, moved = room[size]
+            zr, z, r, n = hu[: 2 * STATE], hu[:STATE], hu[STATE : 2 * STATE], hu[2 * STATE :]
+            for d, part in enumerate((slice(0, STATE), slice(STATE, 2 * STATE))):
+                xs, now = line[d][:, own], np.zeros((STATE, size), np.float32)
+                for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
+                    v = xs[:, t : t + size] if near else xs[:, at - first + t]
+                    np.matmul(u[d], now, out=hu)
+                    zr += v[: 2 * STATE]
+                    np.tanh(zr, out=zr)
+                    r += 1
+                    n *= r
+                    n += v[2 * STATE :]
+                    np.tanh(n, out=n)
+                    np.subtract(now, n, out=moved)
+                    z += 1
+                    z *= 0.5
+                    moved *= z
+                    now = np.add(n, moved, out=h[t, part])
+            np.matmul(wa, h, out=a)
+            a += ba
+            np.tanh(a, out=a)
+            e = p["va"] @ a
+            e = np.exp(e - e.max(axis=0))
+            made = (e * (p["wo"] @ h)).sum(axis=0) / e.sum(axis=0) + p["bo"][0]
+            out[s : s + CHUNK] = made[at - first] if near else made
+        return out
+
     def backward(self, b: Block, x: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: dict, dlogit: np.ndarray) -> dict[str, np.ndarray]:
         p, g = self.p, {}
         h, a, e = keep["h"], keep["a"], keep["e"]
@@ -156,10 +202,10 @@ class Network:
 def windows_of(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, row) of all windows of the rows; one that reaches the end is the last. Rows without words have none."""
     size = first[rows + 1] - first[rows]
-    n = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
+    n = np.where(size > 0, 1 + np.maximum(0, size - WINDOW), 0)
     row = np.repeat(rows, n)
     k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return first[row] + k * STRIDE, row
+    return first[row] + k, row
 
 
 def _places(b: Block, start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,15 +214,24 @@ def _places(b: Block, start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, n
     return b.words[np.where(mask, place, start[None, :])], mask
 
 
+def window_logits(net: Network, b: Block, x: np.ndarray, start: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The logits of windows of a block; those of rows of fewer words are padded."""
+    whole = b.first[row + 1] - start >= WINDOW
+    out = np.empty(len(start), np.float32)
+    out[whole] = net.whole(x, b.words, start[whole])
+    short = np.flatnonzero(~whole)
+    for s in range(0, len(short), 4096):
+        some = short[s : s + 4096]
+        out[some] = net.forward(x, *_places(b, start[some], row[some]))
+    return out
+
+
 def block_logits(net: Network, b: Block) -> np.ndarray:
     """The logit of each row of a block; that of rows without words is the network's least."""
     rows = np.arange(len(b.first) - 1)
     out = np.full(len(rows), -np.inf)
     start, row = windows_of(b.first, rows)
-    x = net.inputs(b)
-    for s in range(0, len(start), 4096):
-        at, mask = _places(b, start[s : s + 4096], row[s : s + 4096])
-        np.maximum.at(out, row[s : s + 4096], net.forward(x, at, mask))
+    np.maximum.at(out, row, window_logits(net, b, net.inputs(b), start, row))
     return out
 
 
@@ -218,7 +273,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 6, batch: int = 48,
             start, row = windows_of(b.first, np.arange(len(rows)))
             if not len(start):
                 continue
-            logits = np.concatenate([net.forward(x, *_places(b, start[i : i + 4096], row[i : i + 4096])) for i in range(0, len(start), 4096)])
+            logits = window_logits(net, b, x, start, row)
             best = np.lexsort((-logits, row))
             best = best[np.concatenate([[True], row[best][1:] != row[best][:-1]])]  # the highest window of each row
             at, mask = _places(b, start[best], row[best])

@@ -242,6 +242,21 @@ def test_toxicity(spark):
     assert toxicity.train(odd.where("false"), spark.createDataFrame([], "doc_id long, toxic int")) is None
 
 
+@pytest.mark.parametrize("chunk", [50, 2000])
+def test_toxicity_windows(monkeypatch, chunk):
+    """The score of a text is that of its highest window, whichever word that starts from."""
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    rng, net = random.Random(8), toxicity.Network(2)
+    net.p["ew"] *= 20
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(50)], k=n)).encode() for n in (0, 1, 31, 32, 33, 50, 200, 7, 400, 40, 40, 0)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    b = toxicity.block_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    got, x = toxicity.block_logits(net, b), net.inputs(b)
+    for r, (lo, hi) in enumerate(zip(b.first, b.first[1:], strict=False)):
+        every = [net.forward(x, b.words[k : min(hi, k + 32)][:, None], np.ones((min(hi - k, 32), 1), bool))[0] for k in range(lo, max(lo + 1, hi - 31))] if hi > lo else [-np.inf]
+        assert got[r] == pytest.approx(max(every), abs=1e-4)
+
+
 def test_gradients():
     """Backpropagation against differences."""
     net = toxicity.Network(1)
