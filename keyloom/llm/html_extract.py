@@ -10,7 +10,8 @@ few of their pages.
 
 Menus, headers, footers, asides, forms and the like, marked by tag, role and
 class, are neither template nor slots. Where the slots lie in an article (or
-main) element, all of its text is content. Markup alone decides on a page
+main) element, all of its text is content, and that of its siblings of the
+same path, but for those that are template as a whole. Markup alone decides on a page
 without the wrapper's path, and where there is no wrapper.
 """
 
@@ -185,37 +186,34 @@ def _containers(root: Node) -> list[Node]:
     return found["article"] or found["main"]
 
 
-def _blocks(root: Node, above: str = "") -> list[tuple[str, str, float]]:
-    """(path, text, share of it in links) of the innermost blocks of a page, or of a part below a path, without dropped parts."""
-    out: list[tuple[str, str, float]] = []
+def _blocks(root: Node, above: str = "") -> list[tuple[str, str]]:
+    """(path, text) of the innermost blocks of a page, or of a part below a path, without dropped parts."""
+    out: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked: list[str] = []
     path: list[str] = [above] if above else []
 
     def flush() -> None:
         text = joined(parts)
         if text:
-            out.append(("/".join(path), text, len(joined(linked)) / len(text)))
-        parts.clear(), linked.clear()
+            out.append(("/".join(path), text))
+        parts.clear()
 
-    todo: list = [(root, False, 0)]
+    todo: list = [(root, 0)]
     while todo:
-        x, in_link, step = todo.pop()
+        x, step = todo.pop()
         if step:
             flush()
             path.pop()
         elif isinstance(x, str):
             parts.append(x)
-            if in_link:
-                linked.append(x)
         elif x.tag == "br":
             parts.append(" ")
         elif not (x.drop or x.tag == "header"):
             if x.tag in _BLOCK or x.tag == "#root":
                 flush()
                 path.append(x.label)
-                todo.append((x, in_link, 1))
-            todo.extend((c, in_link or x.tag == "a", 0) for c in reversed(x.children))
+                todo.append((x, 1))
+            todo.extend((c, 0) for c in reversed(x.children))
     return out
 
 
@@ -389,11 +387,12 @@ def main_text(source: str | None, wrapper: Wrapper = Wrapper(), spare: Wrapper =
     found = _at(root, wrapper.holder) if wrapper.holder else []
     if not found:
         found = _containers(root) or [root]
-    if found[0].tag in ("article", "main"):
-        return max((_text(x, True) for x in found), key=len)
     above = wrapper.holder.rpartition("/")[0]
+    if found[0].tag in ("article", "main"):
+        varied = [x for x in found if not (own := _blocks(x, above)) or any(f"{p}\t{t}" not in wrapper.template for p, t in own)]
+        return " ".join(filter(None, (_text(x, True) for x in varied or found)))
     parts = [x for node in found for x in _blocks(node, "" if node is root else above)]
-    return " ".join(t for p, t, links in parts if f"{p}\t{t}" not in wrapper.template and links <= 0.5)
+    return " ".join(t for p, t in parts if f"{p}\t{t}" not in wrapper.template)
 
 
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -321,6 +321,16 @@ def test_wrapper():
     assert [(x.text, y.text) for x, y in html_extract.align(a, b) if x.tag == "li"] in ([("pp", "qq"), ("k", "k"), ("p", "q")], [("p", "q"), ("k", "k"), ("pp", "qq")])
 
 
+def test_html_keeps_all():
+    """Text split over sibling articles, and blocks of links, are content; an article that is the same on all pages isn't."""
+    page = "<body><article><p>one {0}</p></article><article><p>two {0} and more</p></article><article><p>Follow us, the longest of all</p></article></body>"
+    made = html_extract.induce([page.format(i) for i in range(4)])
+    assert html_extract.main_text(page.format(9), made) == "one 9 two 9 and more"
+    assert html_extract.main_text(page.format(9)) == "one 9 two 9 and more Follow us, the longest of all"
+    links = "<body><div><p>text</p><ul><li><a>a paper</a></li></ul></div></body>"
+    assert html_extract.main_text(links) == "text a paper"
+
+
 def test_chat(spark):
     call = '{"tool_calls": [{"id": "c1", "name": "add", "arguments": "{\\"b\\": 2.0, \\"a\\": 1}"}, {"id": "c2", "function": {"name": "add", "arguments": {"a": "x"}}}], "content": null}'
     rows = [
