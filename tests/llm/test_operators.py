@@ -383,3 +383,29 @@ def test_pipeline(spark):
         if name != "sentencepiece":
             assert docs.columns == corpus_pipeline.COLUMNS
     assert all(r.round_trip in (True, None) for r in after.values())
+
+
+def test_pipeline_drops(spark):
+    """The toxicity stage drops what a directly scored table calls toxic; decontamination drops what shares a window with the benchmark."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    labels, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    every = {r.doc_id for r in docs.collect()}
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    toxic = {r.doc_id for r in scored if r.score >= 0.5}
+    assert toxic and {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()} == every - toxic
+    low = lambda t: tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    items = [w for w in (low(r.text) for r in benchmark.collect()) if w]
+    planted = " ".join(next(w for w in items if len(w) >= 13))
+    docs = docs.unionByName(documents(spark, [planted, "not in it"], [90_001, 90_002]))
+    windows = {w[k : k + min(13, len(w))] for w in items for k in range(len(w) - min(13, len(w)) + 1)}
+    kept = set()
+    for r in docs.collect():
+        w, hit = low(r.text), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if w[k : k + n] in windows:
+                    hit |= set(range(k, k + n))
+        if not hit or 20 * len(hit) < len(w):
+            kept.add(r.doc_id)
+    assert 90_001 not in kept and 90_002 in kept
+    assert {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()} == kept
