@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +122,7 @@ class Words:
 
     `text` holds the texts with one separator byte after each. Word i is
     text[start[i]:end[i]]; those of row r are first[r]..first[r+1]-1. `hash`
-    has a 64-bit name of each word.
+    has a 64-bit name of each word, to select candidates by: other words may have it too.
     """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold_case: bool = False):
@@ -140,10 +141,23 @@ class Words:
         flips = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
         self.start, self.end = flips[0::2], flips[1::2]
         self.first = np.concatenate([[0], np.searchsorted(self.start, ends)]).astype(np.int64)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        n = len(self.text)
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[text] * up[:n], dtype=np.uint64, out=sums[1:])
-        self.hash = mix64((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        np.cumsum(_BYTE[self.text] * up[:n], dtype=np.uint64, out=sums[1:])
+        return mix64((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+
+    def line(self) -> np.ndarray:
+        """The words, with one space after each."""
+        mark = np.zeros(len(self.text) + 2, np.int8)
+        mark[self.start] += 1
+        mark[self.end + 1] -= 1
+        text = self.text.copy()
+        text[self.end] = 0x20
+        return text[np.cumsum(mark, dtype=np.int8)[: len(text)] > 0]
 
     def __len__(self) -> int:
         return len(self.start)
@@ -161,6 +175,32 @@ NOT_SPACE = byte_class(set(range(256)) - {0x20, 9, 10, 11, 12, 13})
 ALNUM = byte_class({*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)})
 
 
+def _word_ends(raw: np.ndarray, is_word: np.ndarray, at: int, n: int) -> tuple[int, int]:
+    """(where the n-th word that ends after `at` ends, or the end of the text; how many ended)."""
+    found, step = 0, 1 << 16
+    while at < len(raw):
+        part = is_word[raw[at : at + step + 1]]
+        ends = np.flatnonzero(part[:-1] & ~part[1:]) + 1
+        if found + len(ends) >= n:
+            return at + int(ends[n - found - 1]), n
+        found += len(ends)
+        if at + step >= len(raw) - 1:
+            return len(raw), found + int(is_word[raw[-1]])
+        at += step
+    return len(raw), found
+
+
+def word_pieces(raw: np.ndarray, is_word: np.ndarray, shared: int, limit: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, words before it) of pieces of a text of about `limit` bytes, each with the first `shared` words of what follows. No word is cut."""
+    a, before = 0, 0
+    while a < len(raw):
+        end, _ = _word_ends(raw, is_word, min(len(raw), a + limit), 1)
+        stop, _ = _word_ends(raw, is_word, end, shared) if shared else (end, 0)
+        yield a, stop, before
+        before += _word_ends(raw[:end], is_word, a, len(raw))[1]
+        a = end
+
+
 def windows_hash(names: np.ndarray, length: int) -> np.ndarray:
     """Names of all runs of `length` consecutive names, by doubling: a run is named by its two (overlapping) halves."""
     size, out = 1, names

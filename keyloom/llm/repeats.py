@@ -1,167 +1,195 @@
 """Windows of L units that also start in a document with a smaller id.
 
-The engine of the two repeat removers. A unit is a word or a byte; how units
-are named is given by a `Units` function, all else is shared:
-
-1. Long runs first. Documents are cut at content-defined places, so equal text
-   is cut alike. Each run of two pieces is named (128 bits); a run that also
-   stands in a smaller document is covered as a whole. Copies of any number
-   collapse here, through one pre-aggregated min() per name. What a covered run
-   holds is held by the smaller document too, so the run needn't be compared
-   again, neither to be found nor to find others.
-2. Keys. Every other window is keyed by the smallest name among its s-grams, s
-   the base size. Equal windows have equal keys, so a window whose key is in no
-   second document can't repeat and isn't looked at again. Neighbouring windows
-   mostly share their key: about 2/(L-s+2) rows a unit are sent, not one.
-3. Stretches. Neighbouring windows of one key (up to 63) form a stretch, which
-   carries its text. The stretches of a key that few documents have meet in one
-   bounded group, where the first document of each window is found. Those of a
-   key that many have are first reduced to one for each text, then compared by
-   rows of windows with a pre-aggregated min().
-
-No positions are shuffled: names travel with doc_id, and positions are found
-again from the text. Groups are reduced by min/max with partial aggregation;
-the way back is an equi-join, of which a hot key's partition can be split.
+The engine of the two repeat removers. A unit is a word or a byte; `Units`
+says how texts are cut into them, all else is shared:
+
+1. Buckets. A window is followed through one of its grams of `base` units, the
+   one of the smallest name. Equal windows have equal grams, so a window whose
+   bucket of grams lies in one document alone is settled. Neighbouring windows
+   mostly share their gram: about 2/(L-base+2) rows a unit are sent, not one.
+2. Stretches. Neighbouring windows of one live bucket (up to 63) form a
+   stretch, which carries its text to the bucket's group.
+3. Refinement (refine()). In a group, places are put into buckets by their
+   first symbols, and each round sorts pairs of buckets, that of a place and
+   that of a later offset, so the length doubles until it is L. Whatever lies in
+   one document alone is left out of the next round. Nothing is hashed here.
+
+A bucket of over GROUP stretches isn't gathered: its stretches are first
+reduced to one for each text, then their windows meet in a pre-aggregated
+min() by 128-bit names (XXH3). Both ways give the same result.
+
+Names of grams only select candidates. No positions are shuffled: what is found
+returns by doc_id with the stretch's name, and places are found again from the
+text. Texts of over a block's bytes are worked on in overlapping pieces. The way
+back is an equi-join, of which a hot key's partition can be split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, discard, list_parts, mix64, pair64, powers, sliding_min, stage, text_parts
+from .common import BLOCK_BYTES, blocks, discard, list_parts, pair64, slices, sliding_min, stage, text_parts
 from .groups import by_group
 
-_ODD = np.uint64(0xD6E8FEB86659FD93)
-#: Documents of a key whose stretches meet in one group, at most; windows of a stretch, at most (bits of a mask).
-GROUP, STRETCH = 1000, 63
+#: Stretches of a bucket that meet in one group, at most; windows of a stretch, at most (bits of a mask); stretches that are refined at once.
+GROUP, STRETCH, AT_ONCE = 4096, 63, 1 << 14
 
 
 @dataclass
 class Stream:
     """The units of a block of rows, end to end. Those of row r are first[r]..first[r+1]-1.
 
-    grams: names of the base-size grams at each place (those across rows mean nothing).
-    lanes: the prefix sums of the units' names in one of two independent forms.
-    cut: the text of the units a..b-1, for arrays of both, and its offsets.
-    own: what the caller needs for its output.
+    grams: names of the base-size grams at each place (those across rows mean
+    nothing). line: the units' text; a unit starts at begin[i] and the run
+    a..b-1 ends at begin[b] - gap, or at its own number where begin is None. own:
+    what the caller needs for its output.
     """
 
     first: np.ndarray
     grams: np.ndarray
-    lanes: Callable[[int], np.ndarray]
-    cut: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    line: np.ndarray
+    begin: np.ndarray | None
+    gap: int
     own: object
 
+    def span(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the line the runs a..b-1 lie."""
+        return (a, b) if self.begin is None else (self.begin[a], self.begin[b] - self.gap)
 
-Units = Callable[[np.ndarray, np.ndarray], Stream]
+    def names(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """128-bit names of the texts of the runs a..b-1, as rows of two numbers."""
+        text, digest = self.line.tobytes(), xxhash.xxh3_128_digest
+        lo, hi = self.span(a, b)
+        return np.frombuffer(b"".join([digest(text[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]), np.int64).reshape(-1, 2)
 
+    def rows(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, places, side="right") - 1
 
-def level_sizes(window: int, base: int) -> list[int]:
-    """Sizes from the base to the window, each at most twice the one before: 7, 13 or 20, 40, 50."""
-    sizes = [min(base, window)]
+
+class Units:
+    """How texts are cut into units, for windows of `window` and grams of `base` units."""
+
+    #: Units of a first symbol of the refinement.
+    start = 1
+
+    def __init__(self, window: int, base: int, block: int = BLOCK_BYTES):
+        self.window, self.base, self.block = window, min(base, window), block
+        self.start = min(self.start, window)
+
+    def stream(self, raw: np.ndarray, offsets: np.ndarray, named: bool = True) -> Stream:
+        """The units of rows; without names of grams if not `named`."""
+        raise NotImplementedError
+
+    def symbols(self, s: Stream) -> np.ndarray:
+        """The first `start` units from each place, as numbers that are equal for equal units and for no others."""
+        raise NotImplementedError
+
+    def pieces(self, raw: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(start, end, units before it) of pieces of a text, that share window - 1 units: each window is in one piece."""
+        raise NotImplementedError
+
+    def whole(self, raw: np.ndarray, offsets: np.ndarray) -> object:
+        """`own` of rows of any size."""
+        raise NotImplementedError
+
+    def write(self, own: object, gone: np.ndarray, null: np.ndarray) -> list[pa.Array]:
+        """Output columns, given which units are removed."""
+        raise NotImplementedError
+
+
+def doubled(start: int, window: int) -> list[int]:
+    """Lengths of the rounds, each at most twice the one before: 1, 2, 4, 8, 13 or 8, 16, 32, 50."""
+    sizes = [min(start, window)]
     while sizes[-1] < window:
         sizes.append(min(2 * sizes[-1], window))
     return sizes
 
 
-def prefix_sums(lane: np.ndarray) -> np.ndarray:
-    n = len(lane)
-    up, _ = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(lane * up[:n], dtype=np.uint64, out=sums[1:])
-    return sums
-
-
-def run_names(stream: Stream, a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
-    """Names of the runs a..b-1; the two lanes together are a name of 128 bits."""
-    s = stream.lanes(lane)
-    _, down = powers(len(s) + 1)
-    return mix64((s[b] - s[a]) * down[a] + (b - a).astype(np.uint64) * _ODD)
-
-
-def grown(grams: np.ndarray, size: int, to: int) -> np.ndarray:
-    """Names of `to`-grams from those of `size`-grams, to <= 2 * size."""
-    step = to - size
-    return pair64(grams[: len(grams) - step], grams[step:]) if step and len(grams) > step else grams[: 0 if step else None]
-
-
-@dataclass(frozen=True)
-class Repeats:
-    """window: L in units; sizes: level_sizes(L, ...); piece: mean length of a piece; units: as above."""
-
-    window: int
-    sizes: tuple[int, ...]
-    piece: int
-    units: Units
-
-    def runs(self, s: Stream) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the runs of two pieces (a whole row if it is one piece) of L units or more."""
-        n = int(s.first[-1])
-        last = np.repeat(s.first[1:], np.diff(s.first))
-        cut = np.flatnonzero((s.grams & np.uint64(self.piece - 1)) == 0)
-        cut = cut[cut + self.sizes[0] <= last[cut]] if n else cut
-        b = np.unique(np.concatenate([s.first, cut]))
-        is_row = np.zeros(n + 1, bool)
-        is_row[s.first] = True
-        is_row = is_row[b]
-        k = np.arange(len(b) - 1)
-        inner = k[~is_row[1:]]
-        alone = k[is_row[:-1] & is_row[1:]]
-        a = np.concatenate([b[inner], b[alone]])
-        e = np.concatenate([b[np.minimum(inner + 2, len(b) - 1)], b[alone + 1]])
-        long = e - a >= self.window
-        return a[long], e[long]
-
-    def valid(self, s: Stream) -> np.ndarray:
-        """Whether a window starts at each place."""
-        out = np.ones(int(s.first[-1]), bool)
-        for k in range(min(self.window - 1, len(out))):
-            ends = s.first[1:] - 1 - k
-            out[ends[ends >= s.first[:-1]]] = False
-        return out
-
-    def keys(self, s: Stream) -> np.ndarray:
-        """The key of the window at each place, padded: the smallest name of its base-size grams."""
-        low = sliding_min(s.grams, self.window - self.sizes[0] + 1)
-        out = np.zeros(int(s.first[-1]), np.uint64)
-        m = min(len(low), len(out))
-        out[:m] = low[:m]
-        return out
-
-    def names(self, s: Stream, places: np.ndarray) -> np.ndarray:
-        """First names of the windows at some places: names of each size are made from two of the one before."""
-        grams, at = s.grams, self.sizes[0]
-        for to in self.sizes[1:]:
-            grams, at = grown(grams, at, to), to
-        return grams[places]
-
-    def stretches(self, s: Stream, live: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, row) of the stretches of live windows of one key; the end is that of its last window."""
-        new = live.copy()
-        new[1:] &= ~(live[:-1] & (key[1:] == key[:-1]))
-        stop = live & np.append(new[1:] | ~live[1:], True)[: len(live)]
-        start, last = np.flatnonzero(new), np.flatnonzero(stop)
-        parts = (last - start) // STRETCH + 1
-        if len(parts) and parts.max() > 1:
-            k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-            start, last = np.repeat(start, parts) + k * STRETCH, np.repeat(last, parts)
-            last = np.minimum(last, start + STRETCH - 1)
-        return start, last + self.window, _rows_of(s, start)
-
-    def inside(self, s: Stream, a: np.ndarray, e: np.ndarray, less: int) -> np.ndarray:
-        """Places p with a <= p < e - less for one of the runs."""
-        n = int(s.first[-1])
-        if not len(a):
-            return np.zeros(n, bool)
-        steps = np.bincount(a, minlength=n + 1) - np.bincount(e - less, minlength=n + 1)
-        return np.cumsum(steps)[:n] > 0
+def _offsets(sizes: list[int]) -> list[np.ndarray]:
+    """For each round, the offsets in a window whose buckets are needed: those of a round are made of two of the one before."""
+    need = [np.zeros(1, np.int64)]
+    for size, to in zip(sizes[-2::-1], sizes[:0:-1], strict=True):
+        need.append(np.unique(np.concatenate([need[-1], need[-1] + to - size])))
+    return need[::-1]
+
+
+def _changes(sorted_: np.ndarray) -> np.ndarray:
+    new = np.ones(len(sorted_), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    return new
+
+
+def refine(symbols: np.ndarray, sizes: list[int], places: np.ndarray, docs: np.ndarray, rounds: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the places start a window that several documents have, the smallest of them).
+
+    symbols: exact numbers of the first sizes[0] units at each place; docs: the
+    document of each place. In a round, a place's bucket is that of its own
+    bucket and of the one at a later offset, both of the round before; buckets
+    are numbered in order by sorting. A window with a bucket that one document
+    alone has is left out of later rounds; there are none once no window is
+    left. `rounds` gets (length, windows left) of each.
+    """
+    live, lowest = np.arange(len(places)), np.zeros(0, np.int64)
+    bucket = symbols
+    for k, offsets in enumerate(_offsets(sizes)):
+        if not len(live):
+            break
+        wanted = np.zeros(len(symbols), bool)
+        for o in offsets:
+            wanted[places[live] + o] = True
+        at = np.flatnonzero(wanted)
+        value = (bucket[at] << np.uint64(32)) | bucket[at + (sizes[k] - sizes[k - 1])] if k else bucket[at]
+        order = np.argsort(value)
+        new, at = _changes(value[order]), at[order]
+        heads, own = np.flatnonzero(new), docs[at]
+        lowest, highest = np.minimum.reduceat(own, heads), np.maximum.reduceat(own, heads)
+        number = np.cumsum(new) - 1
+        bucket = np.zeros(len(symbols), np.uint64)
+        bucket[at] = number
+        alone = np.zeros(len(symbols), bool)
+        alone[at] = (lowest == highest)[number]
+        settled = np.zeros(len(live), bool)
+        for o in offsets:
+            settled |= alone[places[live] + o]
+        live = live[~settled]
+        if rounds is not None:
+            rounds.append((sizes[k], len(live)))
+    return live, lowest[bucket[places[live]].astype(np.int64)] if len(live) else lowest[:0]
+
+
+def _valid(s: Stream, window: int) -> np.ndarray:
+    """Whether a window starts at each place."""
+    out = np.ones(int(s.first[-1]), bool)
+    for k in range(min(window - 1, len(out))):
+        ends = s.first[1:] - 1 - k
+        out[ends[ends >= s.first[:-1]]] = False
+    return out
+
+
+def _stretches(units: Units, s: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, start, end, row) of the stretches: neighbouring windows of one smallest gram; the end is that of the last window."""
+    live = _valid(s, units.window)
+    gram = np.zeros(len(live), np.uint64)
+    low = sliding_min(s.grams, units.window - units.base + 1)[: len(gram)]
+    gram[: len(low)] = low
+    new = live.copy()
+    new[1:] &= ~(live[:-1] & (gram[1:] == gram[:-1]))
+    stop = live & np.append(new[1:] | ~live[1:], True)[: len(live)]
+    start, last = np.flatnonzero(new), np.flatnonzero(stop)
+    parts = (last - start) // STRETCH + 1
+    if len(parts) and parts.max() > 1:
+        k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, last = np.repeat(start, parts) + k * STRETCH, np.repeat(last, parts)
+        last = np.minimum(last, start + STRETCH - 1)
+    return gram[start], start, last + units.window, s.rows(start)
 
 
 def _among(names: np.ndarray, rows: np.ndarray, listed: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -169,257 +197,219 @@ def _among(names: np.ndarray, rows: np.ndarray, listed: np.ndarray, offsets: np.
     if not len(listed) or not len(names):
         return np.zeros(len(names), bool)
     pool = np.unique(pair64(listed.view(np.uint64), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.uint64)))
-    own = pair64(names, rows.astype(np.uint64))
+    own = pair64(names.view(np.uint64), rows.astype(np.uint64))
     at = np.minimum(np.searchsorted(pool, own), len(pool) - 1)
     return pool[at] == own
 
 
-def _blocks_of(batch: pa.RecordBatch, plan: Repeats, text: str, lists: list[str]) -> Iterator:
-    """For each block of a batch: range of rows, its stream, the lists' parts."""
-    raw, offsets, _ = text_parts(batch.column(text))
+def _parts_of(units: Units, batch: pa.RecordBatch, lists: list[str]) -> Iterator:
+    """For each block of rows, or piece of a long row, of a batch: rows a..b-1, units before it, its stream, the lists' parts."""
+    raw, offsets, _ = text_parts(batch.column("__text"))
     parts = [list_parts(batch.column(x)) for x in lists]
-    for a, b in blocks(offsets):
+    for a, b in blocks(offsets, units.block):
         cut = [(v[o[a] : o[b]], o[a : b + 1] - o[a]) for v, o in parts]
-        yield a, b, plan.units(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), cut
-
-
-def _rows_of(s: Stream, places: np.ndarray) -> np.ndarray:
-    return np.searchsorted(s.first, places, side="right") - 1
+        text = raw[offsets[a] : offsets[b]]
+        if len(text) <= units.block:
+            yield a, b, 0, units.stream(text, offsets[a : b + 1] - offsets[a]), cut
+        else:
+            for lo, hi, before in units.pieces(text):
+                yield a, b, before, units.stream(text[lo:hi], np.array([0, hi - lo])), cut
 
 
 def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in columns.values()], names=list(columns))
 
 
-def _run_rows(plan: Repeats, text: str):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, _, s, _ in _blocks_of(batch, plan, text, []):
-                start, end = plan.runs(s)
-                names = {f"h{k + 1}": run_names(s, start, end, k) for k in (0, 1)}
-                yield _batch(names | {"doc_id": ids[a + _rows_of(s, start)].astype(np.int64)})
-
-    return rows
-
-
-def _covered(plan: Repeats, s: Stream, cut) -> tuple[np.ndarray, np.ndarray]:
-    start, end = plan.runs(s)
-    if not len(cut[0]):
-        return start[:0], end[:0]
-    hit = _among(run_names(s, start, end, 0), _rows_of(s, start), *cut)
-    return start[hit], end[hit]
-
-
-def _stretches(plan: Repeats, s: Stream, covered) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, end, row) of the stretches of windows that no covered run holds."""
-    live, key = plan.valid(s), plan.keys(s)
-    start, end = _covered(plan, s, covered)
-    if len(start):
-        live &= ~plan.inside(s, start, end, plan.window - 1)
-    start, end, row = plan.stretches(s, live, key)
-    return key[start], start, end, row
-
-
-def _changes(sorted_: np.ndarray) -> np.ndarray:
-    new = np.ones(len(sorted_), bool)
-    new[1:] = sorted_[1:] != sorted_[:-1]
-    return new
-
-
-def _once(names: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Places of different pairs."""
-    pairs = pair64(names, rows.astype(np.uint64))
-    order = np.argsort(pairs)
-    return order[_changes(pairs[order])]
-
-
-def _key_rows(plan: Repeats, text: str):
-    """Rows (key, doc_id), each key once a document."""
+def _gram_rows(units: Units):
+    """Rows (gram, doc_id, n): the grams that a block has windows of, with the number of its stretches."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, _, s, cuts in _blocks_of(batch, plan, text, ["__covered"]):
-                key, _, _, row = _stretches(plan, s, cuts[0])
-                new = _once(key, row)
-                yield _batch({"h1": key[new], "doc_id": ids[a + row[new]].astype(np.int64)})
+            for a, _, _, s, _ in _parts_of(units, batch, []):
+                gram, _, _, row = _stretches(units, s)
+                pairs = pair64(gram, row.astype(np.uint64))
+                order = np.argsort(pairs)
+                heads = np.flatnonzero(_changes(pairs[order]))
+                one = order[heads]
+                yield _batch({"gram": gram[one], "doc_id": ids[a + row[one]].astype(np.int64), "n": np.diff(np.append(heads, len(order)))})
 
     return rows
 
 
-_STRETCH_ROW = "key long, h1 long, h2 long, doc_id long, many boolean, part binary"
+_STRETCH_ROW = "gram long, h1 long, h2 long, doc_id long, many boolean, part binary"
 
 
-def _stretch_rows(plan: Repeats, text: str):
-    """The stretches whose key is live, each once a document."""
+def _stretch_rows(units: Units):
+    """The stretches of live grams, each text once a block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, _, s, cuts in _blocks_of(batch, plan, text, ["__covered", "__few", "__many"]):
-                key, start, end, row = _stretches(plan, s, cuts[0])
-                many = _among(key, row, *cuts[2])
-                live = many | _among(key, row, *cuts[1])
-                key, start, end, row, many = key[live], start[live], end[live], row[live], many[live]
-                h1 = run_names(s, start, end, 0)
-                new = _once(h1, row)
-                start, end, row, many = start[new], end[new], row[new], many[new]
-                h2 = run_names(s, start, end, 1) if many.any() else np.zeros(len(new), np.uint64)
-                raw, offsets = s.cut(start, end)
-                part = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
-                made = _batch({"key": key[new], "h1": h1[new], "h2": h2, "doc_id": ids[a + row].astype(np.int64)})
-                yield pa.RecordBatch.from_arrays([*made.columns, pa.array(many), part], names=[*made.schema.names, "many", "part"])
+            for a, _, _, s, cuts in _parts_of(units, batch, ["__few", "__many"]):
+                gram, start, end, row = _stretches(units, s)
+                many = _among(gram, row, *cuts[1])
+                live = many | _among(gram, row, *cuts[0])
+                gram, start, end, row, many = gram[live], start[live], end[live], row[live], many[live]
+                h1, h2 = s.names(start, end).T
+                _, one = np.unique(pair64(h1.view(np.uint64), row.astype(np.uint64)), return_index=True)
+                raw, offsets = slices(s.line, *s.span(start[one], end[one]))
+                part = pa.BinaryArray.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+                made = _batch({"gram": gram[one], "h1": h1[one], "h2": h2[one], "doc_id": ids[a + row[one]].astype(np.int64)})
+                yield pa.RecordBatch.from_arrays([*made.columns, pa.array(many[one]), part], names=[*made.schema.names, "many", "part"])
 
     return rows
 
 
-def _windows_of(plan: Repeats, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, part, number within it) of the windows of parts."""
-    raw, offsets, _ = text_parts(parts)
-    s = plan.units(raw, offsets)
-    places = np.flatnonzero(plan.valid(s))
-    row = _rows_of(s, places)
-    return plan.names(s, places), row, places - s.first[row]
-
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups, some at a time, of rows that come sorted by gram."""
+    held, size = [], 0
+    for group in by_group(batches, ["gram"]):
+        held.append(group)
+        size += group.num_rows
+        if size >= AT_ONCE:
+            yield pa.concat_tables(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
-def _first_of(plan: Repeats):
-    """Rows (doc_id, h1, mask) of stretches with windows that a smaller document of their key has. Rows come sorted by key."""
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held, size = [], 0
-        for group in by_group(batches, ["key"]):
-            held.append(group)
-            size += group.num_rows
-            if size >= 1 << 15:
-                yield pa.concat_tables(held).combine_chunks()
-                held, size = [], 0
-        if held:
-            yield pa.concat_tables(held).combine_chunks()
+def _refined(units: Units):
+    """Rows (doc_id, gram, h1, mask) of stretches with windows that a smaller document has."""
+    sizes = doubled(units.start, units.window)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
-            doc, key = chunk.column("doc_id").to_numpy(), chunk.column("key").to_numpy().view(np.uint64)
-            name, part, k = _windows_of(plan, chunk.column("part"))
-            name = pair64(name, key[part])
-            order = np.argsort(name)
-            name, part, k = name[order], part[order], k[order]
-            new, own = _changes(name), doc[part]
-            first = np.minimum.reduceat(own, np.flatnonzero(new)) if len(own) else own
-            hit = own > first[np.cumsum(new) - 1]
+        for chunk in _chunks(batches):
+            doc = chunk.column("doc_id").to_numpy()
+            raw, offsets, _ = text_parts(chunk.column("part"))
+            s = units.stream(raw, offsets, named=False)
+            places = np.flatnonzero(_valid(s, units.window))
+            live, lowest = refine(units.symbols(s), sizes, places, np.repeat(doc, np.diff(s.first)))
+            part = s.rows(places[live])
+            hit = doc[part] > lowest
+            part, k = part[hit], (places[live] - s.first[part])[hit]
             mask = np.zeros(len(doc), np.int64)
-            np.bitwise_or.at(mask, part[hit], np.int64(1) << k[hit])
+            np.bitwise_or.at(mask, part, np.int64(1) << k)
             some = np.flatnonzero(mask)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), chunk.column("h1").combine_chunks().take(pa.array(some)), pa.array(mask[some])], names=["doc_id", "h1", "mask"])
+            yield _batch({"doc_id": doc[some]} | {n: chunk.column(n).to_numpy()[some] for n in ("gram", "h1")} | {"mask": mask[some]})
 
     return rows
 
 
-def _window_rows(plan: Repeats):
-    """Rows (two names, doc_id, stretch, number) of the windows of stretches."""
+def _window_rows(units: Units):
+    """Rows (name, doc_id, stretch, number) of the windows of stretches."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            name, part, k = _windows_of(plan, batch.column("part"))
-            columns = {n: batch.column(n).to_numpy()[part] for n in ("key", "doc_id", "h1")}
-            yield _batch({"key": columns["key"], "name": name, "doc_id": columns["doc_id"], "h1": columns["h1"], "k": k.astype(np.int64)})
+            for a in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(a, AT_ONCE)
+                raw, offsets, _ = text_parts(some.column("part"))
+                s = units.stream(raw, offsets, named=False)
+                places = np.flatnonzero(_valid(s, units.window))
+                part = s.rows(places)
+                names = s.names(places, places + units.window)
+                yield _batch({"w1": names[:, 0].copy(), "w2": names[:, 1].copy()} | {n: some.column(n).to_numpy()[part] for n in ("gram", "doc_id", "h1")} | {"k": places - s.first[part]})
 
     return rows
 
 
-def _among_many(plan: Repeats, rows: DataFrame) -> DataFrame:
-    """As _first_of, for keys of any number of documents."""
-    names = ["key", "h1", "h2"]
+def _among_many(units: Units, rows: DataFrame) -> DataFrame:
+    """As _refined, for buckets of any number of stretches."""
+    names = ["gram", "h1", "h2"]
     firsts = rows.groupBy(*names).agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("hi"), F.first("part").alias("part"))
     firsts = stage(firsts, "firsts")
     # joins are with staged tables, not with aggregates, so that a hot key's partition can be split
-    again = rows.join(firsts.where("doc_id < hi").select(*names, F.col("doc_id").alias("lo")), names).where("doc_id > lo").select("doc_id", "h1", F.lit(2**63 - 1).alias("mask"))
-    windows = stage(firsts.select("key", "h1", "doc_id", "part").mapInArrow(_window_rows(plan), "key long, name long, doc_id long, h1 long, k long"), "windows")
-    lowest = windows.groupBy("key", "name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    hits = windows.join(stage(lowest, "lowest"), ["key", "name"]).where("doc_id > lo")
-    hits = hits.groupBy("doc_id", "h1").agg(F.expr("bit_or(shiftleft(1L, cast(k as int)))").alias("mask"))
+    again = rows.select(*names, "doc_id").join(firsts.where("doc_id < hi").select(*names, F.col("doc_id").alias("lo")), names)
+    again = again.where("doc_id > lo").select("doc_id", "gram", "h1", F.lit(2**63 - 1).alias("mask"))
+    windows = firsts.select("gram", "h1", "doc_id", "part").mapInArrow(_window_rows(units), "w1 long, w2 long, gram long, doc_id long, h1 long, k long")
+    windows = stage(windows, "windows")
+    lowest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    hits = windows.join(stage(lowest, "lowest"), ["w1", "w2"]).where("doc_id > lo")
+    hits = hits.groupBy("doc_id", "gram", "h1").agg(F.expr("bit_or(shiftleft(1L, cast(k as int)))").alias("mask"))
     return again.union(hits)
 
 
-def _later(rows: DataFrame, name: str) -> DataFrame:
-    """doc_id -> its names that a smaller document has too. Staged."""
-    keys = ["h1", "h2"]
-    both = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    out = stage(rows.join(stage(both, "both"), keys).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("h1").alias("names")), name)
+def find(docs: DataFrame, units: Units, text: str = "text") -> DataFrame:
+    """Staged lists by doc_id (grams, names, masks) of the stretches with windows that a smaller document has."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text")).where("doc_id is not null and __text is not null")
+    grams = stage(texts.mapInArrow(_gram_rows(units), "gram long, doc_id long, n long"), "grams")
+    shared = grams.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.sum("n") > GROUP).alias("many")).where("lo < hi").drop("hi")
+    # a join with a staged table, so that a hot gram's partition can be split
+    live = grams.join(stage(shared, "shared"), "gram")
+    live = stage(live.groupBy("doc_id").agg(*[F.collect_set(F.when(c, F.col("gram"))).alias(n) for n, c in (("__few", ~F.col("many")), ("__many", F.col("many")))]), "live")
+    discard(grams)
+    rows = stage(texts.join(live, "doc_id").mapInArrow(_stretch_rows(units), _STRETCH_ROW), "stretches")
+    few = rows.where("not many").select("gram", "h1", "doc_id", "part").repartition("gram").sortWithinPartitions("gram").mapInArrow(_refined(units), "doc_id long, gram long, h1 long, mask long")
+    hits = few.union(_among_many(units, rows.where("many")))
+    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "h1", "mask")).alias("x"))
+    hits = stage(hits.select("doc_id", F.col("x.gram").alias("grams"), F.col("x.h1").alias("names"), F.col("x.mask").alias("masks")), "hits")
     discard(rows)
-    return out
+    return hits
 
 
-def find(docs: DataFrame, plan: Repeats, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Staged lists by doc_id of what a smaller document has too: names of covered runs; names and masks of stretches."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text")).where("doc_id is not null and __text is not null")
-    covered = _later(stage(texts.mapInArrow(_run_rows(plan, "__text"), "h1 long, h2 long, doc_id long"), "runs"), "covered")
-    source = texts.join(covered.withColumnRenamed("names", "__covered"), "doc_id", "left")
-
-    keys = stage(source.mapInArrow(_key_rows(plan, "__text"), "h1 long, doc_id long"), "keys")
-    shared = stage(keys.groupBy("h1").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")).where("n > 1"), "shared")
-    others = keys.join(shared, "h1").where("doc_id > lo")
-    others = stage(others.select("h1", "doc_id", "lo", (F.col("n") > GROUP).alias("many")), "others")
-    discard(keys)
-    live = others.select("doc_id", "h1", "many").union(others.select(F.col("lo").alias("doc_id"), "h1", "many").distinct())
-    live = stage(live.groupBy("doc_id").agg(*[F.collect_list(F.when(c, F.col("h1"))).alias(n) for n, c in (("__few", ~F.col("many")), ("__many", F.col("many")))]), "live")
-    discard(others)
-
-    rows = stage(source.join(live, "doc_id").mapInArrow(_stretch_rows(plan, "__text"), _STRETCH_ROW), "stretches")
-    few = rows.where("not many").select("key", "h1", "doc_id", "part").repartition("key").sortWithinPartitions("key").mapInArrow(_first_of(plan), "doc_id long, h1 long, mask long")
-    hits = few.union(_among_many(plan, rows.where("many")))
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "mask")).alias("x"))
-    hits = stage(hits.select("doc_id", F.col("x.h1").alias("names"), F.col("x.mask").alias("masks")), "hits")
-    discard(rows)
-    return covered, hits
+def _inside(n: int, a: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Places p < n with a <= p < e for one of the runs."""
+    return np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(e, minlength=n + 1))[:n] > 0
 
 
-def _marked(plan: Repeats, s: Stream, cuts) -> np.ndarray:
+def _marked(units: Units, s: Stream, cuts) -> np.ndarray:
     """Whether each unit is removed."""
     gone = np.zeros(int(s.first[-1]), bool)
-    start, end = _covered(plan, s, cuts[0])
-    if len(start):
-        gone |= plan.inside(s, start, end, 0)
-    (listed, offsets), (masks, _) = cuts[1:]
-    if len(listed):
-        _, start, end, row = _stretches(plan, s, cuts[0])
-        pool = pair64(listed.view(np.uint64), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.uint64))
-        order = np.argsort(pool)
-        pool, masks = pool[order], masks[order]
-        new = np.flatnonzero(_changes(pool))
-        pool, masks = pool[new], np.bitwise_or.reduceat(masks, new)
-        own = pair64(run_names(s, start, end, 0), row.astype(np.uint64))
-        at = np.minimum(np.searchsorted(pool, own), len(pool) - 1)
-        hit = pool[at] == own
-        start, size, mask = start[hit], (end - plan.window + 1 - start)[hit], masks[at[hit]]
-        k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        some = (np.repeat(mask, size) >> k) & 1 == 1
-        places = (np.repeat(start, size) + k)[some]
-        gone |= plan.inside(s, places, places + plan.window, 0)
-    return gone
-
-
-def remove(docs: DataFrame, plan: Repeats, write, outputs: list[T.StructField], text: str, columns: list[str] | None) -> DataFrame:
-    """The given columns of docs (None: all) with the columns `outputs`; write(stream, gone, null) makes their Arrow arrays.
+    (grams, offsets), (names, _), (masks, _) = cuts
+    if not len(grams):
+        return gone
+    gram, start, end, row = _stretches(units, s)
+    some = _among(gram, row, grams, offsets)
+    start, end, row = start[some], end[some], row[some]
+    pool = pair64(names.view(np.uint64), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.uint64))
+    order = np.argsort(pool)
+    pool, masks = pool[order], masks[order]
+    new = np.flatnonzero(_changes(pool))
+    pool, masks = pool[new], np.bitwise_or.reduceat(masks, new)
+    own = pair64(s.names(start, end)[:, 0].copy().view(np.uint64), row.astype(np.uint64))
+    at = np.minimum(np.searchsorted(pool, own), len(pool) - 1)
+    hit = pool[at] == own
+    start, size, mask = start[hit], (end - units.window + 1 - start)[hit], masks[at[hit]]
+    k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    places = (np.repeat(start, size) + k)[(np.repeat(mask, size) >> k) & 1 == 1]
+    return _inside(len(gone), places, places + units.window) if len(places) else gone
+
+
+def remove(docs: DataFrame, units: Units, outputs: list[T.StructField], text: str, columns: list[str] | None) -> DataFrame:
+    """The given columns of docs (None: all) with the columns `outputs`, which units.write() makes.
 
     Where names clash, the outputs win. Rows with
     a null doc_id neither lose text nor make others lose it. Rows of one doc_id
     aren't compared with each other.
     """
-    covered, hits = find(docs, plan, text)
+    hits = find(docs, units, text)
     kept = [f for f in docs.schema.fields if f.name not in {o.name for o in outputs} and (columns is None or f.name in columns)]
     names = ["__text" if f.name == text else f"c{i}" for i, f in enumerate(kept)]
     own = docs.select(*[F.col(f.name).alias(n) for n, f in zip(names, kept, strict=True) if n != "__text"], F.col(text).alias("__text"), F.col("doc_id").cast("long").alias("__id"))
-    own = own.join(covered.select(F.col("doc_id").alias("__id"), F.col("names").alias("__covered")), "__id", "left")
-    own = own.join(hits.select(F.col("doc_id").alias("__id"), "names", "masks").toDF("__id", "__names", "__masks"), "__id", "left")
-    listed = ["__covered", "__names", "__masks"]
+    listed = ["__grams", "__names", "__masks"]
+    own = own.join(hits.toDF("__id", *listed), "__id", "left")
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, kept, strict=True)] + [T.StructField(f"o{i}", o.dataType) for i, o in enumerate(outputs)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             null = batch.column("__text").is_null().to_numpy(zero_copy_only=False)
-            for a, b, s, cuts in _blocks_of(batch, plan, "__text", listed):
-                made = write(s, _marked(plan, s, cuts), null[a:b])
+            raw, offsets, _ = text_parts(batch.column("__text"))
+            long: list[tuple[int, np.ndarray]] = []  # marks of the pieces of a long text
+            parts = _parts_of(units, batch, listed)
+            part = next(parts, None)
+            while part is not None:
+                a, b, before, s, cuts = part
+                gone, part = _marked(units, s, cuts), next(parts, None)
+                if offsets[b] - offsets[a] > units.block:
+                    long.append((before, gone))
+                    if part is not None and part[0] == a:
+                        continue
+                    whole = np.zeros(max(at + len(g) for at, g in long), bool)
+                    for at, g in long:
+                        whole[at : at + len(g)] |= g
+                    long, made = [], units.write(units.whole(raw[offsets[a] : offsets[b]], np.array([0, offsets[b] - offsets[a]])), whole, null[a:b])
+                else:
+                    made = units.write(s.own, gone, null[a:b])
                 arrays = [batch.column(n).slice(a, b - a) for n in names] + made
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, *(f"o{i}" for i in range(len(outputs)))])
 

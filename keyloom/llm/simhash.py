@@ -54,13 +54,7 @@ def _fingerprints(words_a_shingle: int, seed: int):
                 w = Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NOT_SPACE, fold_case=True)
                 if not len(w):
                     continue
-                # the words with one space after each
-                mark = np.zeros(len(w.text) + 2, np.int8)
-                mark[w.start] += 1
-                mark[w.end + 1] -= 1
-                text = w.text
-                text[w.end] = 0x20
-                line = text[np.cumsum(mark, dtype=np.int8)[: len(text)] > 0].tobytes()
+                line = w.line().tobytes()
                 begin = np.concatenate([[0], np.cumsum(w.end - w.start + 1)])
                 for r in range(b - a):
                     i, j = int(w.first[r]), int(w.first[r + 1])

@@ -49,18 +49,18 @@ def gone(docs, size):
     return out
 
 
-@pytest.mark.parametrize("group", [1000, 2])
-def test_substring_and_suffix_dedup(spark, monkeypatch, group):
-    monkeypatch.setattr(repeats, "GROUP", group)  # 2: nearly all keys take the way for many documents
+@pytest.mark.parametrize(("group", "block"), [(4096, 1 << 20), (2, 1 << 20), (4096, 300)])
+def test_substring_and_suffix_dedup(spark, monkeypatch, group, block):
+    monkeypatch.setattr(repeats, "GROUP", group)  # 2: nearly all buckets take the way for many stretches
     texts = made_texts()
     df = documents(spark, texts).withColumn("kept", F.lit("clash")).withColumn("h1", F.lit(1))
     words = [(i, tuple(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in enumerate(texts)]
     masks = gone(words, 13)
-    got = {r.doc_id: (r.kept, r.n_words, r.n_removed, r.h1) for r in substring_dedup.substring_dedup(df).collect()}
+    got = {r.doc_id: (r.kept, r.n_words, r.n_removed, r.h1) for r in substring_dedup.substring_dedup(df, block=block).collect()}  # 300: long texts are cut in pieces
     assert got == {i: (" ".join(w for w, m in zip(u, masks[i], strict=True) if not m), len(u), sum(masks[i]), 1) for i, u in words}
     data = [(i, (t or "").encode()) for i, t in enumerate(texts)]
     masks = gone(data, 50)
-    got = {r.doc_id: (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(df).collect()}
+    got = {r.doc_id: (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(df, block=block).collect()}
     for i, u in data:
         m = masks[i]
         assert got[i] == (bytes(b for b, x in zip(u, m, strict=True) if not x), len(u), sum(m), sum(x and not (k and m[k - 1]) for k, x in enumerate(m)))
@@ -74,6 +74,58 @@ def test_repeats_odd_ids(spark):
     assert substring_dedup.substring_dedup(empty).count() == suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_no_names_decide(spark):
+    """Texts that differ by a Thue-Morse pattern, whose polynomial hashes modulo 2^64 are equal in any odd base, aren't taken for equal."""
+    bits = thue_morse(1024)
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    one, two = ("".join(t[k : k + 1] + "xyz" for k in range(1024)) for t in (one, two))
+    data = [(i, t.encode()) for i, t in enumerate([one, two, one + "end"])]
+    masks = gone(data, 50)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(documents(spark, [one, two, one + "end"])).collect()}
+    assert got == {i: sum(m) for i, m in masks.items()}
+
+
+def test_refinement_rounds():
+    """Buckets of 8 bytes are refined to 16, 32 and 50; what one document alone has leaves on the way."""
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    eight, thirty, fifty = letters(8), letters(30), letters(60)
+    texts = [letters(60) + x + letters(60) + y for x, y in ((eight, fifty), (eight, thirty), (thirty, fifty), (letters(9), letters(9)))]
+    units = suffix_dedup.Bytes(50, 20)
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    s = units.stream(raw, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    places, rounds = np.flatnonzero(repeats._valid(s, 50)), []
+    docs = np.repeat(np.arange(4), np.diff(s.first))
+    live, lowest = repeats.refine(units.symbols(s), repeats.doubled(8, 50), places, docs, rounds)
+    first, expected = {}, []
+    for p in places:
+        first.setdefault(raw[p : p + 50].tobytes(), set()).add(int(docs[p]))
+    for p in places:
+        if len(first[raw[p : p + 50].tobytes()]) > 1:
+            expected.append((p, min(first[raw[p : p + 50].tobytes()])))
+    assert list(zip(places[live], lowest, strict=True)) == expected and len(expected) == 22
+    assert [n for n, _ in rounds] == [8, 16, 32, 50] and rounds[-1][1] == 22 and len(places) > rounds[0][1] >= rounds[1][1]
+    none = []
+    assert not len(repeats.refine(units.symbols(s), repeats.doubled(8, 50), places, np.zeros(len(docs), np.int64), none)[0])
+    assert none == [(8, 0)]  # no candidates survive, so no further round
+
+
+def test_long_text(spark):
+    """A text over a block, with a passage that lies on the border of its pieces."""
+    rng = random.Random(9)
+    words = [f"{rng.randrange(10**9)}" for _ in range(130_000)]
+    cut = next(k for k in range(len(words)) if len(" ".join(words[:k])) > (1 << 20))
+    passage = words[cut - 20 : cut + 20]
+    df = documents(spark, [" ".join(words), " ".join(["own", *passage, "end"]), " ".join(["first", *passage])], [5, 7, 3])
+    assert {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(df).collect()} == {3: 0, 5: 40, 7: 40}
+    size = len(" ".join(passage))
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(df).collect()} == {3: (0, 0), 5: (size + 1, 1), 7: (size + 2, 1)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 100), (300, 300), (None, 5)] + [(400, 401 + i) for i in range(200)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -141,8 +193,8 @@ def test_embeddings(spark, monkeypatch):
     assert embed_dedup.embedding_dedup(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("bound", [2_000_000, 0])
-def test_decontamination(spark, bound):
+@pytest.mark.parametrize(("bound", "block"), [(1 << 22, 1 << 20), (0, 1 << 20), (1 << 22, 40), (0, 40)])
+def test_decontamination(spark, bound, block):
     rng = random.Random(4)
     words = [f"W{i}" for i in range(30)]
     items = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([20, 13, 3, 1, 0, 14])] + [(9, None), (None, "W1 W2"), (1, "W5, w6")]
@@ -165,13 +217,13 @@ def test_decontamination(spark, bound):
         expected[d] = (len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w))
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     df = documents(spark, texts).withColumn("items", F.lit("clash"))
-    out = decontam.decontaminate(df, benchmark, action="spans", broadcast_windows=bound).collect()
+    out = decontam.decontaminate(df, benchmark, action="spans", broadcast_bytes=bound, block=block).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in out} == expected
     for r in out:
         assert len(low(r.cleaned)) == r.n_words - r.n_hit and (r.n_hit or r.cleaned == texts[r.doc_id])
-    kept = decontam.decontaminate(df, benchmark, action="documents", broadcast_windows=bound)
+    kept = decontam.decontaminate(df, benchmark, action="documents", broadcast_bytes=bound, block=block)
     assert {r.doc_id for r in kept.collect()} == {d for d, x in expected.items() if not x[3]}
-    assert decontam.decontaminate(df, benchmark.where("false"), broadcast_windows=bound).where("n_hit > 0").count() == 0
+    assert decontam.decontaminate(df, benchmark.where("false"), broadcast_bytes=bound, block=block).where("n_hit > 0").count() == 0
 
 
 def test_sentencepiece(spark):
