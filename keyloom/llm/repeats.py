@@ -237,26 +237,22 @@ def _gram_rows(units: Units):
     return rows
 
 
-_STRETCH_ROW = "gram long, h1 long, h2 long, doc_id long, many boolean, part binary"
-
-
-def _stretch_rows(units: Units):
-    """The stretches of live grams, each text once a block."""
+def _stretch_rows(units: Units, column: str, both: bool):
+    """The stretches of the grams listed in a column, each text once a block: (gram, h1, doc_id, part), and h2 if `both` names are wanted."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, _, _, s, cuts in _parts_of(units, batch, ["__few", "__many"]):
+            for a, _, _, s, cuts in _parts_of(units, batch, [column]):
                 gram, start, end, row = _stretches(units, s)
-                many = _among(gram, row, *cuts[1])
-                live = many | _among(gram, row, *cuts[0])
-                gram, start, end, row, many = gram[live], start[live], end[live], row[live], many[live]
+                live = _among(gram, row, *cuts[0])
+                gram, start, end, row = gram[live], start[live], end[live], row[live]
                 h1, h2 = s.names(start, end).T
                 _, one = np.unique(pair64(h1.view(np.uint64), row.astype(np.uint64)), return_index=True)
                 raw, offsets = slices(s.line, *s.span(start[one], end[one]))
                 part = pa.BinaryArray.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
-                made = _batch({"gram": gram[one], "h1": h1[one], "h2": h2[one], "doc_id": ids[a + row[one]].astype(np.int64)})
-                yield pa.RecordBatch.from_arrays([*made.columns, pa.array(many[one]), part], names=[*made.schema.names, "many", "part"])
+                made = _batch({"gram": gram[one], "h1": h1[one], "doc_id": ids[a + row[one]].astype(np.int64)} | ({"h2": h2[one]} if both else {}))
+                yield pa.RecordBatch.from_arrays([*made.columns, part], names=[*made.schema.names, "part"])
 
     return rows
 
@@ -336,14 +332,22 @@ def find(docs: DataFrame, units: Units, text: str = "text") -> DataFrame:
     shared = grams.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.sum("n") > GROUP).alias("many")).where("lo < hi").drop("hi")
     # a join with a staged table, so that a hot gram's partition can be split
     live = grams.join(stage(shared, "shared"), "gram")
-    live = stage(live.groupBy("doc_id").agg(*[F.collect_set(F.when(c, F.col("gram"))).alias(n) for n, c in (("__few", ~F.col("many")), ("__many", F.col("many")))]), "live")
+    live = stage(live.groupBy("doc_id").agg(*[F.collect_set(F.when(c, F.col("gram"))).alias(n) for n, c in (("few", ~F.col("many")), ("many", F.col("many")))]), "live")
     discard(grams)
-    rows = stage(texts.join(live, "doc_id").mapInArrow(_stretch_rows(units), _STRETCH_ROW), "stretches")
-    few = rows.where("not many").select("gram", "h1", "doc_id", "part").repartition("gram").sortWithinPartitions("gram").mapInArrow(_refined(units), "doc_id long, gram long, h1 long, mask long")
-    hits = few.union(_among_many(units, rows.where("many")))
+
+    def stretches(column: str, both: bool) -> DataFrame:
+        kind = "gram long, h1 long, doc_id long, h2 long, part binary" if both else "gram long, h1 long, doc_id long, part binary"
+        return texts.join(live.select("doc_id", column).where(F.size(column) > 0), "doc_id").mapInArrow(_stretch_rows(units, column, both), kind)
+
+    # each text of a stretch is shuffled once and isn't staged
+    found = "doc_id long, gram long, h1 long, mask long"
+    few = stage(stretches("few", False).repartition("gram").sortWithinPartitions("gram").mapInArrow(_refined(units), found), "few")
+    rows = stage(stretches("many", True), "stretches")
+    hits = few.union(_among_many(units, rows))
     hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "h1", "mask")).alias("x"))
     hits = stage(hits.select("doc_id", F.col("x.gram").alias("grams"), F.col("x.h1").alias("names"), F.col("x.mask").alias("masks")), "hits")
-    discard(rows)
+    for table in (few, rows, live):
+        discard(table)
     return hits
 
 
