@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BLOCK_BYTES, blocks, discard, list_parts, pair64, slices, sliding_min, stage, text_parts
-from .groups import by_group
 
 #: Stretches of a bucket that meet in one group, at most; windows of a stretch, at most (bits of a mask); stretches that are refined at once.
 GROUP, STRETCH, AT_ONCE = 4096, 63, 1 << 14
@@ -127,42 +126,40 @@ def _changes(sorted_: np.ndarray) -> np.ndarray:
     return new
 
 
-def refine(symbols: np.ndarray, sizes: list[int], places: np.ndarray, docs: np.ndarray, rounds: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def refine(symbols: np.ndarray, sizes: list[int], places: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(which of the places start a window that several documents have, the smallest of them).
 
-    symbols: exact numbers of the first sizes[0] units at each place; docs: the
-    document of each place. In a round, a place's bucket is that of its own
-    bucket and of the one at a later offset, both of the round before; buckets
-    are numbered in order by sorting. A window with a bucket that one document
-    alone has is left out of later rounds; there are none once no window is
-    left. `rounds` gets (length, windows left) of each.
+    symbols: exact numbers of the first sizes[0] units at each place; lo, hi:
+    the smallest and largest document that has what is at a place. In a round,
+    a place's bucket is that of its own bucket and of the one at a later
+    offset, both of the round before; buckets are numbered in order by sorting.
+    A window with a bucket that one document alone has is left out of later
+    rounds; there are none once no window is left. `rounds` gets (length,
+    windows left) of each.
     """
-    live, lowest = np.arange(len(places)), np.zeros(0, np.int64)
-    bucket = symbols
+    live, lowest, bucket = np.arange(len(places)), lo[:0], symbols
     for k, offsets in enumerate(_offsets(sizes)):
         if not len(live):
             break
-        wanted = np.zeros(len(symbols), bool)
+        start, wanted = places[live], np.zeros(len(symbols), bool)
         for o in offsets:
-            wanted[places[live] + o] = True
+            wanted[start + o] = True
         at = np.flatnonzero(wanted)
-        value = (bucket[at] << np.uint64(32)) | bucket[at + (sizes[k] - sizes[k - 1])] if k else bucket[at]
+        value = (bucket[at].astype(np.uint64) << np.uint64(32)) | bucket[at + (sizes[k] - sizes[k - 1])] if k else bucket[at]
         order = np.argsort(value)
-        new, at = _changes(value[order]), at[order]
-        heads, own = np.flatnonzero(new), docs[at]
-        lowest, highest = np.minimum.reduceat(own, heads), np.maximum.reduceat(own, heads)
-        number = np.cumsum(new) - 1
-        bucket = np.zeros(len(symbols), np.uint64)
-        bucket[at] = number
-        alone = np.zeros(len(symbols), bool)
-        alone[at] = (lowest == highest)[number]
-        settled = np.zeros(len(live), bool)
+        heads, at = np.flatnonzero(_changes(value[order])), at[order]
+        lowest = np.minimum.reduceat(lo[at], heads)
+        # numbers from 1 in order; 0 is what one document alone has
+        number = np.where(lowest < np.maximum.reduceat(hi[at], heads), np.arange(1, len(heads) + 1), 0).astype(np.uint32)
+        bucket = np.zeros(len(symbols), np.uint32)
+        bucket[at] = np.repeat(number, np.diff(np.append(heads, len(at))))
+        shared = np.ones(len(live), bool)
         for o in offsets:
-            settled |= alone[places[live] + o]
-        live = live[~settled]
+            shared &= bucket[start + o] > 0
+        live = live[shared]
         if rounds is not None:
             rounds.append((sizes[k], len(live)))
-    return live, lowest[bucket[places[live]].astype(np.int64)] if len(live) else lowest[:0]
+    return live, lowest[bucket[places[live]].astype(np.int64) - 1] if len(live) else lo[:0]
 
 
 def _valid(s: Stream, window: int) -> np.ndarray:
@@ -237,8 +234,8 @@ def _gram_rows(units: Units):
     return rows
 
 
-def _stretch_rows(units: Units, column: str, both: bool):
-    """The stretches of the grams listed in a column, each text once a block: (gram, h1, doc_id, part), and h2 if `both` names are wanted."""
+def _stretch_rows(units: Units, column: str, named: bool):
+    """The stretches of the grams listed in a column, each text once a block: (gram, doc_id, part), and the names h1, h2 if `named`."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +248,7 @@ def _stretch_rows(units: Units, column: str, both: bool):
                 _, one = np.unique(pair64(h1.view(np.uint64), row.astype(np.uint64)), return_index=True)
                 raw, offsets = slices(s.line, *s.span(start[one], end[one]))
                 part = pa.BinaryArray.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
-                made = _batch({"gram": gram[one], "h1": h1[one], "doc_id": ids[a + row[one]].astype(np.int64)} | ({"h2": h2[one]} if both else {}))
+                made = _batch({"gram": gram[one], "doc_id": ids[a + row[one]].astype(np.int64)} | ({"h1": h1[one], "h2": h2[one]} if named else {}))
                 yield pa.RecordBatch.from_arrays([*made.columns, part], names=[*made.schema.names, "part"])
 
     return rows
@@ -260,14 +257,19 @@ def _stretch_rows(units: Units, column: str, both: bool):
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole groups, some at a time, of rows that come sorted by gram."""
     held, size = [], 0
-    for group in by_group(batches, ["gram"]):
-        held.append(group)
-        size += group.num_rows
-        if size >= AT_ONCE:
-            yield pa.concat_tables(held).combine_chunks()
-            held, size = [], 0
-    if held:
-        yield pa.concat_tables(held).combine_chunks()
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < AT_ONCE:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        new = np.flatnonzero(_changes(table.column("gram").to_numpy()))
+        last = int(new[-1])  # the last group may go on
+        if last:
+            yield table.slice(0, last)
+        held, size = table.slice(last).to_batches(), size - last
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _refined(units: Units):
@@ -277,17 +279,26 @@ def _refined(units: Units):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             doc = chunk.column("doc_id").to_numpy()
-            raw, offsets, _ = text_parts(chunk.column("part"))
+            ids, number = np.unique(doc, return_inverse=True)
+            number = number.astype(np.int32)
+            each = chunk.column("part").combine_chunks().dictionary_encode()  # each text once, with its first and last document
+            of = each.indices.to_numpy()
+            lo, hi = np.full(len(each.dictionary), len(ids), np.int32), np.full(len(each.dictionary), -1, np.int32)
+            np.minimum.at(lo, of, number)
+            np.maximum.at(hi, of, number)
+            raw, offsets, _ = text_parts(each.dictionary)
             s = units.stream(raw, offsets, named=False)
-            places = np.flatnonzero(_valid(s, units.window))
-            live, lowest = refine(units.symbols(s), sizes, places, np.repeat(doc, np.diff(s.first)))
+            places, sized = np.flatnonzero(_valid(s, units.window)), np.diff(s.first)
+            live, lowest = refine(units.symbols(s), sizes, places, np.repeat(lo, sized), np.repeat(hi, sized))
             part = s.rows(places[live])
-            hit = doc[part] > lowest
+            hit = lo[part] > lowest
             part, k = part[hit], (places[live] - s.first[part])[hit]
-            mask = np.zeros(len(doc), np.int64)
+            mask = np.zeros(len(lo), np.int64)
             np.bitwise_or.at(mask, part, np.int64(1) << k)
+            name = s.names(s.first[:-1], s.first[1:])[:, 0]
+            mask = np.where(number > lo[of], np.int64(2**63 - 1), mask[of])  # a later document has all windows of the text from the first one
             some = np.flatnonzero(mask)
-            yield _batch({"doc_id": doc[some]} | {n: chunk.column(n).to_numpy()[some] for n in ("gram", "h1")} | {"mask": mask[some]})
+            yield _batch({"doc_id": doc[some], "gram": chunk.column("gram").to_numpy()[some], "h1": name[of[some]], "mask": mask[some]})
 
     return rows
 
@@ -331,13 +342,15 @@ def find(docs: DataFrame, units: Units, text: str = "text") -> DataFrame:
     grams = stage(texts.mapInArrow(_gram_rows(units), "gram long, doc_id long, n long"), "grams")
     shared = grams.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.sum("n") > GROUP).alias("many")).where("lo < hi").drop("hi")
     # a join with a staged table, so that a hot gram's partition can be split
-    live = grams.join(stage(shared, "shared"), "gram")
+    shared = stage(shared, "shared")
+    live = grams.join(shared, "gram")
     live = stage(live.groupBy("doc_id").agg(*[F.collect_set(F.when(c, F.col("gram"))).alias(n) for n, c in (("few", ~F.col("many")), ("many", F.col("many")))]), "live")
-    discard(grams)
+    for table in (grams, shared):
+        discard(table)
 
-    def stretches(column: str, both: bool) -> DataFrame:
-        kind = "gram long, h1 long, doc_id long, h2 long, part binary" if both else "gram long, h1 long, doc_id long, part binary"
-        return texts.join(live.select("doc_id", column).where(F.size(column) > 0), "doc_id").mapInArrow(_stretch_rows(units, column, both), kind)
+    def stretches(column: str, named: bool) -> DataFrame:
+        kind = "gram long, doc_id long, h1 long, h2 long, part binary" if named else "gram long, doc_id long, part binary"
+        return texts.join(live.select("doc_id", column).where(F.size(column) > 0), "doc_id").mapInArrow(_stretch_rows(units, column, named), kind)
 
     # each text of a stretch is shuffled once and isn't staged
     found = "doc_id long, gram long, h1 long, mask long"

@@ -100,7 +100,7 @@ def test_refinement_rounds():
     s = units.stream(raw, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
     places, rounds = np.flatnonzero(repeats._valid(s, 50)), []
     docs = np.repeat(np.arange(4), np.diff(s.first))
-    live, lowest = repeats.refine(units.symbols(s), repeats.doubled(8, 50), places, docs, rounds)
+    live, lowest = repeats.refine(units.symbols(s), repeats.doubled(8, 50), places, docs, docs, rounds)
     first, expected = {}, []
     for p in places:
         first.setdefault(raw[p : p + 50].tobytes(), set()).add(int(docs[p]))
@@ -110,7 +110,7 @@ def test_refinement_rounds():
     assert list(zip(places[live], lowest, strict=True)) == expected and len(expected) == 22
     assert [n for n, _ in rounds] == [8, 16, 32, 50] and rounds[-1][1] == 22 and len(places) > rounds[0][1] >= rounds[1][1]
     none = []
-    assert not len(repeats.refine(units.symbols(s), repeats.doubled(8, 50), places, np.zeros(len(docs), np.int64), none)[0])
+    assert not len(repeats.refine(units.symbols(s), repeats.doubled(8, 50), places, 0 * docs, 0 * docs, none)[0])
     assert none == [(8, 0)]  # no candidates survive, so no further round
 
 
