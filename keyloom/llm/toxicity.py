@@ -1,10 +1,13 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 Inputs of a word are an embedding of the word and the mean of embeddings of
-its character 3-grams (both hashed). All overlapping windows of a text, one
-from each word, are scored; the text's score is that of its most toxic window, both when learning
-(the gradient goes through that window) and when scoring. Inputs are projected
-once for each different word of a block of texts.
+its character 3-grams (both hashed), projected once for each different word of
+a block of texts. The network runs over a text in segments, which begin and end
+CONTEXT words early and late, so each word's state knows that many words on both
+sides, or all up to the text's end. All overlapping windows of a text, one from
+each word, are pooled and scored from these states by sliding sums; the text's
+score is that of its most toxic window, both when learning (the gradient goes
+through that window and its context) and when scoring.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, Words, blocks, mix64, stage, text_parts
 
-#: Words of a window; labelled rows that are learnt from, and bytes of such a text, at most.
-WINDOW, SAMPLE, SAMPLE_BYTES = 32, 3000, 1 << 15
-#: Windows that are worked on at once.
-CHUNK = 2000
+#: Words of a window (a power of two); of a segment; and that the network reads before and after a segment or window.
+WINDOW, SEGMENT, CONTEXT = 32, 192, 16
+#: Labelled rows that are learnt from, and bytes of such a text, at most; segments that are worked on at once.
+SAMPLE, SAMPLE_BYTES, AT_ONCE = 3000, 1 << 15, 512
 #: Slots of words and of 3-grams, size of an embedding, of a direction's state, of the attention.
 WORDS, GRAMS, EMBED, STATE, ATTEND = 1 << 15, 1 << 13, 6, 8, 6
 _EDGE = 0x20
@@ -103,66 +106,81 @@ class Network:
             out[t] = h = new
         return out
 
-    def forward(self, x: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Logits of windows; at, mask: (time, windows) numbers of words, and whether there is one."""
+    def forward(self, x: np.ndarray, at: np.ndarray, mask: np.ndarray, pool: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Logits of windows; at, mask, pool: (time, windows) numbers of words, whether there is one, and whether it is in the window or its context."""
         p, hs = self.p, []
         for d in "fb":
             steps = None if keep is None else keep.setdefault(d, [])
             hs.append(self._direction(d, (x @ p[f"w{d}"] + p[f"c{d}"])[at], mask, steps))
         h = np.concatenate(hs, axis=2)
         a = np.tanh(h @ p["wa"] + p["ba"])
-        e = np.where(mask, a @ p["va"], -1e9)
-        e = np.exp(e - e.max(axis=0))
+        e = np.where(pool, np.exp(a @ p["va"]), 0)
         e /= e.sum(axis=0)
         pooled = np.einsum("tb,tbh->bh", e, h)
         if keep is not None:
             keep |= {"h": h, "a": a, "e": e, "pooled": pooled}
         return pooled @ p["wo"] + p["bo"][0]
 
-    def whole(self, x: np.ndarray, words: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Logits of windows of WINDOW words from the given starts in words: those of forward(), with windows side by side in memory."""
-        p, out = self.p, np.empty(len(start), np.float32)
+    def states(self, x: np.ndarray, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The states (2 * STATE, words) of the words of rows, run over segments side by side in memory."""
+        p, out = self.p, np.empty((2 * STATE, len(words)), np.float32)
         # sigmoid(v) is (tanh(v / 2) + 1) / 2; the halves of r's are in those of u that it is multiplied with
         half = np.concatenate([np.full(2 * STATE, 0.5, np.float32), np.ones(STATE, np.float32)])
-        line = [np.ascontiguousarray(((x @ p[f"w{d}"] + p[f"c{d}"]) * half).T) for d in "fb"]
-        u = [np.ascontiguousarray((p[f"u{d}"] * np.float32(0.5)).T) for d in "fb"]
-        wa, ba = np.ascontiguousarray(p["wa"].T), p["ba"][:, None]
-        room: dict[int, tuple] = {}
-        for s in range(0, len(start), CHUNK):
-            at = start[s : s + CHUNK]
-            first, span = int(at[0]), int(at[-1] - at[0]) + 1
-            own = words[first : first + span + WINDOW - 1]
-            near = span < 1.4 * len(at)  # cheaper with the starts between them, across rows, than picked one by one
-            size = span if near else len(at)
-            if size not in room:
-                room = {size: tuple(np.empty((*k, size), np.float32) for k in ((WINDOW, 2 * STATE), (WINDOW, ATTEND), (3 * STATE,), (STATE,)))}
-            h, a, hu, moved = room[size]
-            zr, z, r, n = hu[: 2 * STATE], hu[:STATE], hu[STATE : 2 * STATE], hu[2 * STATE :]
-            for d, part in enumerate((slice(0, STATE), slice(STATE, 2 * STATE))):
-                xs, now = line[d][:, own], np.zeros((STATE, size), np.float32)
-                for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
-                    v = xs[:, t : t + size] if near else xs[:, at - first + t]
-                    np.matmul(u[d], now, out=hu)
-                    zr += v[: 2 * STATE]
-                    np.tanh(zr, out=zr)
-                    r += 1
-                    n *= r
-                    n += v[2 * STATE :]
-                    np.tanh(n, out=n)
-                    np.subtract(now, n, out=moved)
-                    z += 1
-                    z *= 0.5
-                    moved *= z
-                    now = np.add(n, moved, out=h[t, part])
-            np.matmul(wa, h, out=a)
-            a += ba
-            np.tanh(a, out=a)
-            e = p["va"] @ a
-            e = np.exp(e - e.max(axis=0))
-            made = (e * (p["wo"] @ h)).sum(axis=0) / e.sum(axis=0) + p["bo"][0]
-            out[s : s + CHUNK] = made[at - first] if near else made
+        lines = [np.ascontiguousarray(((x @ p[f"w{d}"] + p[f"c{d}"]) * half).T) for d in "fb"]
+        us = [np.ascontiguousarray((p[f"u{d}"] * np.float32(0.5)).T) for d in "fb"]
+        n = -(-np.diff(first) // SEGMENT)
+        row = np.repeat(np.arange(len(n)), n)
+        start = first[row] + SEGMENT * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        stop = np.minimum(start + SEGMENT, first[row + 1])
+        reads = (np.maximum(start - CONTEXT, first[row]), np.minimum(stop + CONTEXT, first[row + 1]))
+        # a direction begins where all its segments do, so none waits for words; shorter ones end earlier
+        for d, (line, u) in enumerate(zip(lines, us, strict=True)):
+            size = (stop - reads[0]) if d == 0 else (reads[1] - start)
+            order = np.argsort(-size, kind="stable")
+            for s in range(0, len(order), AT_ONCE):
+                some = order[s : s + AT_ONCE]
+                left, go = size[some], 1 if d == 0 else -1
+                begin = reads[0][some] if d == 0 else reads[1][some] - 1
+                own = (start[some] - begin) if d == 0 else (begin - stop[some] + 1)  # steps before its own words
+                now = np.zeros((STATE, len(some)), np.float32)
+                for t in range(int(left[0])):
+                    k = int(np.searchsorted(-left, -t, side="left"))  # those of over t words
+                    now = now[:, :k]
+                    at = begin[:k] + go * t
+                    v = line[:, words[at]]
+                    hu = u @ now
+                    zr = np.tanh(hu[: 2 * STATE] + v[: 2 * STATE])
+                    new = np.tanh(hu[2 * STATE :] * (zr[STATE:] + 1) + v[2 * STATE :])
+                    now = new + (now - new) * (0.5 * (zr[:STATE] + 1))
+                    mine = own[:k] <= t
+                    if t >= CONTEXT or mine.all():
+                        out[d * STATE : (d + 1) * STATE, at] = now
+                    elif mine.any():
+                        out[d * STATE : (d + 1) * STATE, at[mine]] = now[:, mine]
         return out
 
+    def windows(self, x: np.ndarray, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Logits of the windows from each word of rows; -inf where it would pass the row's end, but for the first of a short row, which ends with it."""
+        p, out = self.p, np.full(len(words), -np.inf)
+        if not len(words):
+            return out
+        h = self.states(x, words, first)
+        weight = np.exp((p["va"] @ np.tanh(p["wa"].T @ h + p["ba"][:, None])).astype(np.float64))
+        both = np.stack([weight, weight * (p["wo"] @ h)])
+        size = np.diff(first)
+        short = np.flatnonzero((size > 0) & (size < WINDOW))
+        if len(short):
+            sums = np.add.reduceat(both, np.stack([first[short], first[short + 1]], axis=1).ravel()[: None if first[short[-1] + 1] < len(words) else -1], axis=1)[:, ::2]
+            out[first[short]] = sums[1] / sums[0]
+        step = 1
+        while step < WINDOW and both.shape[1] > step:
+            both = both[:, :-step] + both[:, step:]
+            step *= 2
+        fits = np.arange(len(words)) + WINDOW <= np.repeat(first[1:], size)
+        at = np.flatnonzero(fits)
+        out[at] = both[1, at] / both[0, at]
+        return out + p["bo"][0]
+
     def backward(self, b: Block, x: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: dict, dlogit: np.ndarray) -> dict[str, np.ndarray]:
         p, g = self.p, {}
         h, a, e = keep["h"], keep["a"], keep["e"]
@@ -199,39 +217,29 @@ class Network:
         return g
 
 
-def windows_of(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, row) of all windows of the rows; one that reaches the end is the last. Rows without words have none."""
-    size = first[rows + 1] - first[rows]
-    n = np.where(size > 0, 1 + np.maximum(0, size - WINDOW), 0)
-    row = np.repeat(rows, n)
-    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return first[row] + k, row
-
+def _places(b: Block, start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of windows with their context, and which there are, and which are in the window."""
+    lo = np.maximum(start - CONTEXT, b.first[row])
+    place = lo[None, :] + np.arange(WINDOW + 2 * CONTEXT)[:, None]
+    mask = place < np.minimum(start + WINDOW + CONTEXT, b.first[row + 1])[None, :]
+    pool = mask & (place >= start[None, :]) & (place < start[None, :] + WINDOW)
+    return b.words[np.where(mask, place, start[None, :])], mask, pool
 
-def _places(b: Block, start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = start[None, :] + np.arange(WINDOW)[:, None]
-    mask = place < b.first[row + 1][None, :]
-    return b.words[np.where(mask, place, start[None, :])], mask
 
-
-def window_logits(net: Network, b: Block, x: np.ndarray, start: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The logits of windows of a block; those of rows of fewer words are padded."""
-    whole = b.first[row + 1] - start >= WINDOW
-    out = np.empty(len(start), np.float32)
-    out[whole] = net.whole(x, b.words, start[whole])
-    short = np.flatnonzero(~whole)
-    for s in range(0, len(short), 4096):
-        some = short[s : s + 4096]
-        out[some] = net.forward(x, *_places(b, start[some], row[some]))
-    return out
+def _highest(first: np.ndarray, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, logit) of the highest window of each row that has words; of equal ones the first."""
+    rows = np.flatnonzero(np.diff(first))
+    best = np.maximum.reduceat(logits, first[rows]) if len(rows) else logits[:0]
+    places = np.flatnonzero(logits == np.repeat(best, np.diff(first)[rows]))
+    _, one = np.unique(np.searchsorted(first, places, side="right") - 1, return_index=True)
+    return rows, places[one], best
 
 
 def block_logits(net: Network, b: Block) -> np.ndarray:
-    """The logit of each row of a block; that of rows without words is the network's least."""
-    rows = np.arange(len(b.first) - 1)
-    out = np.full(len(rows), -np.inf)
-    start, row = windows_of(b.first, rows)
-    np.maximum.at(out, row, window_logits(net, b, net.inputs(b), start, row))
+    """The logit of each row of a block; -inf for rows without words."""
+    out = np.full(len(b.first) - 1, -np.inf)
+    rows, _, best = _highest(b.first, net.windows(net.inputs(b), b.words, b.first))
+    out[rows] = best
     return out
 
 
@@ -251,11 +259,12 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 6, batch: int = 48,
         return block_of(part, np.concatenate([[0], np.cumsum(offsets[rows + 1] - offsets[rows])]))
 
     # embeddings start from how much oftener a word or 3-gram is in toxic texts
-    for name, size in (("ew", WORDS), ("eg", GRAMS)):
-        seen = np.zeros((2, size))
-        for r in learn:
-            b = block(np.array([r]))
-            seen[int(y[r]), np.unique(b.slots if name == "ew" else b.gram_at)] += 1
+    counts = {"ew": np.zeros((2, WORDS)), "eg": np.zeros((2, GRAMS))}
+    for r in learn:
+        b = block(np.array([r]))
+        for name, slots in (("ew", b.slots), ("eg", b.gram_at)):
+            counts[name][int(y[r]), np.unique(slots)] += 1
+    for name, seen in counts.items():
         totals = np.array([(y[learn] == 0).sum(), (y[learn] == 1).sum()])[:, None]
         odds = np.log((seen[1] + 0.5) / (totals[1] + 1)) - np.log((seen[0] + 0.5) / (totals[0] + 1))
         # slots seen hardly ever, or in most texts, say little
@@ -270,16 +279,13 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 6, batch: int = 48,
             rows = order[s : s + batch]
             b = block(rows)
             x = net.inputs(b)
-            start, row = windows_of(b.first, np.arange(len(rows)))
-            if not len(start):
+            row, start, _ = _highest(b.first, net.windows(x, b.words, b.first))
+            if not len(row):
                 continue
-            logits = window_logits(net, b, x, start, row)
-            best = np.lexsort((-logits, row))
-            best = best[np.concatenate([[True], row[best][1:] != row[best][:-1]])]  # the highest window of each row
-            at, mask = _places(b, start[best], row[best])
+            at, mask, pool = _places(b, start, row)
             keep: dict = {}
-            out = net.forward(x, at, mask, keep)
-            dlogit = ((_sigmoid(out) - y[rows[row[best]]]) / len(best)).astype(np.float32)
+            out = net.forward(x, at, mask, pool, keep)
+            dlogit = ((_sigmoid(out) - y[rows[row]]) / len(row)).astype(np.float32)
             grads = net.backward(b, x, at, mask, keep, dlogit)
             step += 1
             fix = math.sqrt(1 - 0.999**step) / (1 - 0.9**step)

@@ -294,45 +294,65 @@ def test_toxicity(spark):
     assert toxicity.train(odd.where("false"), spark.createDataFrame([], "doc_id long, toxic int")) is None
 
 
-@pytest.mark.parametrize("chunk", [50, 2000])
-def test_toxicity_windows(monkeypatch, chunk):
-    """The score of a text is that of its highest window, whichever word that starts from."""
-    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+def simple_logits(net, x, words, window=32, segment=192, context=16):
+    """The windows' logits of one text, by single steps of the network in double precision."""
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, np.zeros((len(words), 16))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for a in range(0, len(words), segment):
+        b = min(len(words), a + segment)
+        for d, order, part in (("f", range(max(0, a - context), b), slice(0, 8)), ("b", range(min(len(words), b + context) - 1, a - 1, -1), slice(8, 16))):
+            s = np.zeros(8)
+            for t in order:
+                v, u = x[words[t]] @ p[f"w{d}"] + p[f"c{d}"], s @ p[f"u{d}"]
+                z, r = sigmoid(v[:8] + u[:8]), sigmoid(v[8:16] + u[8:16])
+                n = np.tanh(v[16:] + r * u[16:])
+                s = (1 - z) * n + z * s
+                if a <= t < b:
+                    h[t, part] = s
+    e = np.exp(np.tanh(h @ p["wa"] + p["ba"]) @ p["va"])
+    return [float((e[k : k + window] @ h[k : k + window] / e[k : k + window].sum()) @ p["wo"] + p["bo"][0]) for k in range(max(1, len(words) - window + 1))]
+
+
+def test_toxicity_windows():
+    """The score of a text is that of its highest window, whichever word that starts from, against single steps."""
     rng, net = random.Random(8), toxicity.Network(2)
     net.p["ew"] *= 20
-    texts = [" ".join(rng.choices([f"w{i}" for i in range(50)], k=n)).encode() for n in (0, 1, 31, 32, 33, 50, 200, 7, 400, 40, 40, 0)]
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(50)], k=n)).encode() for n in (0, 1, 31, 32, 33, 50, 200, 7, 600, 40, 192, 193, 384, 0, 5)]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     b = toxicity.block_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
     got, x = toxicity.block_logits(net, b), net.inputs(b)
+    rows, start, _ = toxicity._highest(b.first, net.windows(x, b.words, b.first))
+    best = dict(zip(rows.tolist(), (start - b.first[rows]).tolist(), strict=True))
     for r, (lo, hi) in enumerate(zip(b.first, b.first[1:], strict=False)):
-        every = [net.forward(x, b.words[k : min(hi, k + 32)][:, None], np.ones((min(hi - k, 32), 1), bool))[0] for k in range(lo, max(lo + 1, hi - 31))] if hi > lo else [-np.inf]
+        every = simple_logits(net, x, b.words[lo:hi]) if hi > lo else [-np.inf]
         assert got[r] == pytest.approx(max(every), abs=1e-4)
+        assert hi == lo or every[best[r]] == pytest.approx(max(every), abs=1e-4)
 
 
 def test_gradients():
-    """Backpropagation against differences."""
+    """Backpropagation against differences, through a window and its context."""
     net = toxicity.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    raw = b"one two three four five two"
+    raw = " ".join(f"w{i % 23}" for i in range(70)).encode()
     b = toxicity.block_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    start, row = toxicity.windows_of(b.first, np.array([0]))
-    at, mask = toxicity._places(b, start, row)
+    at, mask, pool = toxicity._places(b, np.array([9, 30]), np.array([0, 0]))
+    assert mask.sum(axis=0).tolist() == [57, 56] and pool.sum(axis=0).tolist() == [32, 32]
 
     def logit():
-        return float(net.forward(net.inputs(b), at, mask)[0])
+        return float(net.forward(net.inputs(b), at, mask, pool).sum())
 
     x, keep = net.inputs(b), {}
-    net.forward(x, at, mask, keep)
-    grads = net.backward(b, x, at, mask, keep, np.ones(1, np.float32))
-    for name in ("wf", "ub", "cf", "wa", "va", "wo"):
+    net.forward(x, at, mask, pool, keep)
+    grads = net.backward(b, x, at, mask, keep, np.ones(2, np.float32))
+    for name in ("wf", "wb", "uf", "ub", "cf", "wa", "va", "wo"):
         place = tuple(0 for _ in net.p[name].shape)
         before = net.p[name][place]
-        net.p[name][place] = before + 1e-2
+        net.p[name][place] = before + 1e-3
         up = logit()
-        net.p[name][place] = before - 1e-2
+        net.p[name][place] = before - 1e-3
         down = logit()
         net.p[name][place] = before
-        assert abs((up - down) / 2e-2 - grads[name][place]) < 2e-2 * max(1, abs(grads[name][place]))
+        assert abs((up - down) / 2e-3 - grads[name][place]) < 2e-3 * max(1, abs(grads[name][place]))
 
 
 def test_html(spark):
