@@ -372,25 +372,74 @@ def test_html(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     alone = "My Site T11 body 11 Contact"
     assert got == [(i, f"T{i} body {i}", 9) for i in range(9)] + [(9, "", 0), (10, "", 0)] + [(11, alone, len(alone))] * 2
-    assert html_extract.main_text("<div>" * 3000 + "deep") == "deep"
-    assert html_extract.induce(["<div>" * 3000 + "deep", "<div>" * 3000 + "sea", "<p>x" * 5000, "<div><p>x</p></div>" * 3000]).template == frozenset()
+    clash = spark.createDataFrame([(1, "http://h/", None, "x"), (2, "http://h/", "<p>b", "y")], "page_id long, url string, html string, text string")
+    assert sorted((r.page_id, r.text) for r in html_extract.extract(clash.withColumn("host", F.lit(1))).collect()) == [(1, ""), (2, "b")]
+    assert html_extract.extract(clash.where("false")).count() == 0
+
+
+def test_html_odd_pages():
+    """Deep, wide and broken pages take time in proportion, and lose no text."""
+    assert html_extract.main_text("<div>" * 30_000 + "deep") == "deep"
+    made = html_extract.induce(["<div>" * 30_000 + "deep", "<div>" * 30_000 + "sea", "<p>x" * 5000, "<div><p>x</p></div>" * 3000, "<div><p>y</p></div>" * 3000])
+    assert made.template == frozenset()
+    assert html_extract.main_text('<a "' * 250_001 + "end").endswith("end")
+    assert html_extract.main_text("<p>a</p><a title='x>b</a><p>c</p>") == "a b c"  # an open quote hides nothing
+    assert html_extract.main_text("<p>1 < 2</ p><!x" * 3).startswith("1 < 2")
+    assert html_extract.main_text("<p>x</p><!-- <p>no</p> --><![CDATA[<y>]]><script>'</p>' <p>no</script><p title='a>b'>z") == "x <y> z"
 
 
 def test_wrapper():
-    """The slots decide where the content is, not the names of elements."""
+    """The slots decide where the content is, not the names of elements; what is the same on most pages isn't content."""
+    path = html_extract.path_of
     page = "<body><div class=top>Site<p>All rights</p>reserved</div><div class=a1><h1>T{0}</h1>Share<p>one {0}<p>two<br>{0}</div><section><article>teaser</article></section></body>"
     made = html_extract.induce([page.format(i) for i in range(4)])
-    assert made.holder == "#root/body/div.a-" and f"{made.holder}\tShare" in made.template and "#root/body/section/article\tteaser" in made.template
+    holder = path("#root", "body", "div.a-")
+    assert made.holders == (holder,) and {(holder, "Share"), (path("#root", "body", "section", "article"), "teaser")} <= made.template
     assert html_extract.main_text(page.format(9), made) == "T9 one 9 two 9"
     assert html_extract.main_text(page.format(9)) == "teaser"  # by markup alone
-    assert html_extract.main_text(page.format(9), html_extract.Wrapper(), html_extract.Wrapper(made.holder)) == "T9 Share one 9 two 9"
-    post = "<body><p>Home</p><article><h1>T{0}</h1><p>Same</p><p>b {0}</p></article></body>"
+    assert html_extract.main_text(page.format(9), html_extract.Wrapper(), html_extract.Wrapper(made.holders)) == "T9 Share one 9 two 9"
+    post = "<body><p>Home</p><article><header><h1>T{0}</h1></header><p>Same</p><p>b {0}</p></article></body>"
     made = html_extract.induce([post.format(i) for i in range(4)])
-    assert made.holder == "#root/body/article" and html_extract.main_text(post.format(5), made) == "T5 Same b 5"
+    assert made.holders == (path("#root", "body", "article"),) and html_extract.main_text(post.format(5), made) == "T5 b 5"
+    assert html_extract.main_text(post.format(5)) == "T5 Same b 5"
     assert html_extract.main_text("<body><main>other</main></body>", made) == "other"  # a page of another build
     assert html_extract.induce([post.format(1)] * 3) == html_extract.Wrapper()
-    a, b = (html_extract.Shape(html_extract.parse(f"<ul><li>{x}<li>k<li>{x}{x}</ul>")) for x in "pq")
-    assert [(x.text, y.text) for x, y in html_extract.align(a, b) if x.tag == "li"] in ([("pp", "qq"), ("k", "k"), ("p", "q")], [("p", "q"), ("k", "k"), ("pp", "qq")])
+    # two layouts of one host: each has its holder and its template
+    other = "<body><table><tr><td>Menu<td><div><b>n{0}</b><p>m {0}</div></table><div>Imprint</div></body>"
+    both = html_extract.induce([x.format(i) for i in range(4) for x in (page, other)])
+    assert [html_extract.main_text(x.format(7), both) for x in (page, other)] == ["T7 one 7 two 7", "n7 m 7"]
+
+
+def test_html_names():
+    """Names of parts count as a whole, and ids of headings not at all."""
+    page = "<article><h1 id=comments>A</h1><h2 id='related-work'>Related work</h2><section id='social-history'><p class='notice-board'>x</p></section>{}</article>"
+    assert html_extract.main_text(page.format("")) == "A Related work x"
+    for part in ("div class='site-notice'", "div id=comments", "div class='x adSlot'", "ul class='related-posts list'", "div role=search", "p hidden", "section class='newsletter-signup'"):
+        assert html_extract.main_text(page.format(f"<{part}>no</{part.split()[0]}>")) == "A Related work x", part
+
+
+def plain_matching(x, y):
+    """The greatest weight of pairs of two lists of nodes, cell by cell."""
+    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            w = (a.tag == b.tag) * (1 + (a.text == b.text != "") + (a.whole == b.whole))
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + w if w else 0)
+    return m[-1][-1]
+
+
+def test_alignment():
+    """Pairs of greatest weight, in order, against the plain matrix."""
+    rng = random.Random(6)
+    for _ in range(60):
+        pages = ["".join(f"<{t}>{x}{{}}</{t}>".format(f"<p>{rng.choice('uv')}</p>" * rng.randrange(2)) for t, x in ((rng.choice(["div", "section"]), rng.choice(["", "a", "b"])) for _ in range(rng.randrange(9)))) for _ in range(2)]
+        a, b = (html_extract.Shape.of(html_extract.parse(p)) for p in pages)
+        pairs = html_extract._pairs(a.children, b.children)
+        places = [(a.children.index(x), b.children.index(y)) for x, y in pairs]
+        assert all(p < q and r < s for (p, r), (q, s) in zip(sorted(places), sorted(places)[1:], strict=False))
+        assert all(x.tag == y.tag for x, y in pairs)
+        assert sum(1 + (x.text == y.text != "") + (x.whole == y.whole) for x, y in pairs) == plain_matching(a.children, b.children)
+        assert {(x.path, y.path) for x, y in html_extract.align(a, b)} >= {(x.path, y.path) for x, y in pairs}
 
 
 def test_html_keeps_all():
