@@ -1,5 +1,6 @@
 """The training-data operators against brute force, with nulls, ties, repeats, empty tables and clashing names."""
 
+import json
 import random
 import re
 import zlib
@@ -473,6 +474,60 @@ def test_chat(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chat_odd_json(spark):
+    """Numbers out of range, deep values and odd identifiers crash nothing."""
+    deep = "[" * 5000 + "]" * 5000
+    texts = ['{"tool_calls": [{"id": 1, "name": "f", "arguments": {"x": 1e999}}]}', '{"tool_calls": [{"id": {"a": 1.0}, "name": "f", "arguments": "{\\"x\\": 1e999}"}]}', f'{{"tool_calls": [{{"id": "d", "name": "f", "arguments": {{"x": {deep}}}}}]}}', "{" * 200_000, '{"tool_calls": 3}', '{"tool_calls": [null, 4]}']
+    df = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(texts)] + [(1, 9, "tool", '{"tool_call_id": {"a": 1}}')], "conv_id long, turn long, role string, text string")
+    rows = {r.turn: r for r in chat.format_chats(df, {"f": {"type": "object"}}).collect()}
+    assert [len(rows[i].calls) for i in range(6)] == [0, 1, 1, 0, 0, 2]
+    assert list(rows[1].calls[0].errors) == ["$: not JSON"] and rows[1].n_answered == 1 and rows[9].call_turn == 1
+    assert rows[2].calls[0].arguments == f'{{"x":{deep}}}' and not rows[2].calls[0].errors
+
+
+def test_schemas():
+    check = chat.violations
+    assert check(True, {"enum": [1]}) and check(1, {"const": True}) and not check(1.0, {"enum": [1]})
+    assert check(3, {"oneOf": [{"type": "integer"}, {"minimum": 2}]}) and not check(1, {"oneOf": [{"type": "integer"}, {"minimum": 2}]})
+    assert check(2, {"exclusiveMaximum": 2}) and check([1, 1.0], {"uniqueItems": True}) and check({}, {"minProperties": 1}) and check(1, {"not": {"type": "number"}})
+    assert check({"a": 1}, {"properties": {"a": False}}) and check("x", {"allOf": [{"type": "string"}, {"minLength": 2}]})
+    for schema in ({"pattern": "x"}, {"properties": {"a": {"$ref": "#"}}}, {"type": "text"}, {"items": [1]}, {"anyOf": [{"format": "date"}]}):
+        with pytest.raises(ValueError):
+            chat.check_schema(schema)
+
+
+def test_chat_links(spark):
+    """Links and order of generated conversations against a plain walk through each."""
+    rng, rows = random.Random(11), []
+    for conv in range(30):
+        for turn in range(rng.randrange(12)):
+            ident = f"c{rng.randrange(5)}"
+            kind = rng.randrange(3)
+            text = json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {"n": turn}} for i in {ident, f"c{rng.randrange(5)}"}]}) if kind == 0 else json.dumps({"tool_call_id": ident, "content": turn}) if kind == 1 else "hi"
+            rows.append((conv, turn, ("assistant", "tool", "user")[kind], text))
+    rng.shuffle(rows)
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    for conv in range(30):
+        own = sorted((t, role, text) for c, t, role, text in rows if c == conv)
+        calls, results = {}, defaultdict(list)
+        for turn, role, text in own:
+            for c in json.loads(text)["tool_calls"] if role == "assistant" else []:
+                calls.setdefault(c["id"], turn)
+        for turn, role, text in own:
+            if role == "tool":
+                results[json.loads(text)["tool_call_id"]].append(turn)
+        made = {r.turn: r for r in got if r.conv_id == conv}
+        assert {t: r.call_turn for t, r in made.items()} == {t: calls.get(json.loads(x)["tool_call_id"]) if role == "tool" else None for t, role, x in own}
+        assert {t: r.n_answered for t, r in made.items()} == {t: sum(bool(results[i]) for i, first in calls.items() if first == t) if role == "assistant" else 0 for t, role, _ in own}
+        order = sorted(made.values(), key=lambda r: (r.order_turn, r.order_step, r.turn, r.role, r.json))
+        place = {r.turn: k for k, r in enumerate(order)}
+        for ident, turns in results.items():
+            assert all(ident not in calls or place[calls[ident]] < place[t] for t in turns)
+        still = [r.turn for r in order if r.call_turn is None or r.call_turn < r.turn]
+        assert still == sorted(still)  # what needn't move keeps its place
+
+
 def test_pipeline(spark):
     """Each stage against brute force on what the one before kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
