@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import bloom, fields, geoset, keyspace, kv, zset
 from .plans import commands as cmd
-from .sources import codec
+from .sources import binary, codec
 from .sources import tables as t
 
 NOW = 750_000
@@ -106,9 +106,22 @@ def kv_delete(spark, d):
     return kv.delete(t.kv(spark, d), t.table(spark, d, "customer").where("c_nationkey % 5 = 0").select(F.col("c_name").alias("key")))
 
 
-@query(f"with {_KV}, {_PROBE} select key, case when key in (select key from kv where expire_at is null or {NOW} <= expire_at) then 1 else 0 end as flag from probe")
+def _asked(spark, d):
+    """Keys of commands, some of which come often, in the order of seq."""
+    return _puts(spark, d).select("key", "seq").union(t.table(spark, d, "supplier").select("s_name", "s_suppkey"))
+
+
+_ASKED = "asked as (select c_name as key, o_orderkey as seq from orders join customer on o_custkey = c_custkey union all select s_name, s_suppkey from supplier), first as (select *, row_number() over (partition by key order by seq) = 1 as one from asked)"
+
+
+@query(f"with {_KV}, {_ASKED} select key, seq, case when one and key in (select key from kv where expire_at is null or {NOW} <= expire_at) then 1 else 0 end as flag from first")
 def kv_delete_flags(spark, d):
-    return kv.exists(t.kv(spark, d), _probes(spark, d), NOW)
+    return kv.delete_flags(t.kv(spark, d), _asked(spark, d), NOW)
+
+
+@query(f"with {_KV}, {_ASKED} select key, seq, case when one and key not in (select key from kv where expire_at is null or {NOW} < expire_at) then 'OK' else 'FAIL' end as flag from first")
+def kv_put_nx_batch(spark, d):
+    return kv.put_if_absent(t.kv(spark, d), _asked(spark, d), NOW)
 
 
 @query("select user_id::varchar as key, max_by(props, event_id) as value, max(event_id) as seq from events where event_id > (select max(event_id) // 2 from events) group by 1 having max_by(event_type, event_id) <> 'error'")
@@ -160,16 +173,30 @@ def bf_exists_probe(spark, d):
     return bloom.exists(*_filter(spark, d), some.select(F.lit("members").alias("key"), F.col("n_name").alias("value")))
 
 
-@query("select 'members' as key, s_name as value, 0 as flag from supplier")
+def _two_filters(spark, d):
+    """Two filters with the same values, and probes of both, a blank one among them."""
+    defs = bloom.init(spark.sql("select explode(array('a', 'b')) as key, 1000 as n, 0.01D as p"))
+    values = t.table(spark, d, "supplier").select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("key"), F.col("s_name").alias("value"))
+    return defs, bloom.add(defs, None, values), values.union(spark.sql("select explode(array('a', 'b')) as key, '' as value")), spark.sql("select 'a' as key")
+
+
+@query("select key, value, case when key = 'b' or value = '' then 1 else 0 end as flag from (values ('a'), ('b')) k(key), (select s_name as value from supplier union select '')")
 def bf_reset(spark, d):
-    defs, bits = _filter(spark, d)
-    return bloom.exists(defs, bits.where("false"), _members(spark, d))
+    defs, bits, probes, keys = _two_filters(spark, d)
+    return bloom.exists(defs, bloom.reset(bits, keys), probes)
 
 
-@query("select 'members' as key, s_name as value, 0 as flag from supplier")
+@query("select key, value, case when key = 'b' then 1 else 0 end as flag from (values ('a'), ('b')) k(key), (select s_name as value from supplier union select '')")
 def bf_rm(spark, d):
-    defs, bits = _filter(spark, d)
-    return bloom.exists(defs.where("key <> 'members'"), bits.where("key <> 'members'"), _members(spark, d))
+    defs, bits, probes, keys = _two_filters(spark, d)
+    return bloom.exists(*bloom.remove(defs, bits, keys), probes)
+
+
+@query("select n_name as key, n_name as value, case when n_nationkey < 5 then 'OK' else 'FAIL' end as flag from nation")
+def bf_add_flags(spark, d):
+    nation = t.table(spark, d, "nation")
+    defs = bloom.init(nation.where("n_nationkey < 5").select(F.col("n_name").alias("key"), F.lit(100).alias("n"), F.lit(0.05).alias("p")))
+    return bloom.add_flags(defs, nation.select(F.col("n_name").alias("key"), F.col("n_name").alias("value")))
 
 
 @query(f"with texts as (select s_name as s from supplier), {_HASHED}, {_POS} select 'members' as key, count(distinct bit) as set_bits, count(distinct bit) / 9586::double as density from pos")
@@ -227,6 +254,22 @@ def z_add_upsert(spark, d):
     return zset.add(t.zset(spark, d), new.union(t.table(spark, d, "supplier").select(F.lit("BUILDING"), "s_name", "s_acctbal", F.lit("sup"))))
 
 
+@query(f"""with {_Z}, new as (select c_mktsegment as key, c_name as member, (o_orderkey % 3)::double as score, o_orderkey::varchar as value, o_orderkey as seq from orders join customer on o_custkey = c_custkey),
+s as (select *, lag(score) over w as p, row_number() over w as n from new window w as (partition by key, member order by seq)),
+l as (select key, member, max_by(score, seq) as score, max_by(value, seq) as value, max(n) > 1 as again from s where n = 1 or score <> p group by key, member)
+select key, member, case when l.score is not null and (again or l.score is distinct from zset.score) then l.score else zset.score end as score,
+case when l.score is not null and (again or l.score is distinct from zset.score) then l.value else zset.value end as value from zset full join l using (key, member)""")
+def z_add_batch(spark, d):
+    o = t.table(spark, d, "orders").join(t.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    new = o.select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("member"), (F.col("o_orderkey") % 3).cast("double").alias("score"), F.col("o_orderkey").cast("string").alias("value"), F.col("o_orderkey").alias("seq"))
+    return zset.add(t.zset(spark, d), new)
+
+
+@query("select -1::bigint as rank")
+def z_rank_none(spark, d):
+    return zset.rank_of(t.zset(spark, d), "BUILDING", "nobody")
+
+
 @query("""with base as (select event_type as key, user_id::varchar as member, min(value) as score, 'v' as value from events where event_id % 2 = 0 group by all), inc as (select event_type as key, user_id::varchar as member, sum(value) as inc from events group by all)
 select key, member, round(coalesce(score, 0) + coalesce(inc, 0), 4) as score, coalesce(value, member) as value from base full join inc using (key, member)""")
 def z_incr(spark, d):
@@ -256,6 +299,16 @@ def geo_add_valid(spark, d):
     return geoset.add(t.points(spark, d).where("false"), shifted)
 
 
+@query(f"""with {_GEO}, new as (select c_mktsegment as key, c_name as member, o_orderkey as seq, (o_orderkey % 180)::double - 90 as lat, (o_orderkey % 360)::double - 180 as lon from orders join customer on o_custkey = c_custkey),
+last as (select key, member, max_by(lat, seq) as lat, max_by(lon, seq) as lon from new where lat between -85.05112878 and 85.05112878 group by key, member)
+select key, member, coalesce(last.lat, geo.lat) as lat, coalesce(last.lon, geo.lon) as lon from geo left join last using (key, member)""")
+def geo_add_batch(spark, d):
+    o = t.table(spark, d, "orders").join(t.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey")
+    new = o.select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("member"), ((k % 180).cast("double") - 90).alias("lat"), ((k % 360).cast("double") - 180).alias("lon"), k.alias("seq"))
+    return geoset.add(t.points(spark, d), new).drop("geohash")
+
+
 @query(f"with {_GEO} select key, member, {_HASH}::bigint as geohash from geo")
 def geo_encode_hash(spark, d):
     return t.points(spark, d).select("key", "member", "geohash")
@@ -332,6 +385,13 @@ def h_set(spark, d):
     return fields.set_(t.fields(spark, d), own.select("key", F.explode(F.array(F.lit("0"), F.lit("extra"))).alias("field"), F.lit("new").alias("value")))
 
 
+@query(f"""with {_H}, new as (select (o_custkey % 50)::varchar as key, o_orderpriority as field, max_by(o_clerk, o_orderkey) as value from (select *, o_orderkey::varchar as o_clerk from orders) group by 1, 2)
+select key, field, value from h union all select key, field, value from new""")
+def h_set_batch(spark, d):
+    new = t.table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("string").alias("key"), F.col("o_orderpriority").alias("field"), F.col("o_orderkey").cast("string").alias("value"), F.col("o_orderkey").alias("seq"))
+    return fields.set_(t.fields(spark, d), new)
+
+
 @query(f"with {_H} select k.key, k.field, value from (select distinct key, '1' as field from h union all select distinct key, 'none' from h) k left join h using (key, field)")
 def h_get(spark, d):
     own = t.fields(spark, d).select("key").distinct()
@@ -398,6 +458,24 @@ def evict_budget(spark, d):
     return keyspace.evict(o.agg(F.sum(F.octet_length("o_orderpriority")).alias("bytes"), F.count("*").alias("freq"), F.max("o_orderkey").alias("seq")), 60_000)
 
 
+@query("""with x as (select o_custkey::varchar as key, sum(strlen(o_orderpriority))::bigint as bytes, count(*) as freq, max(o_orderkey) as seq, o_custkey % 3 = 0 as new from orders group by all),
+run as (select *, coalesce(sum(bytes) over (order by freq, seq, key rows between unbounded preceding and 1 preceding), 0) as before from x)
+select key, case when before < (select sum(bytes) - 60000 from x) then 0 else 1 end as flag from run where new""")
+def evict_admission(spark, d):
+    o = t.table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("key"), (F.col("o_custkey") % 3 == 0).alias("new"))
+    sized = o.agg(F.sum(F.octet_length("o_orderpriority")).alias("bytes"), F.count("*").alias("freq"), F.max("o_orderkey").alias("seq"))
+    return keyspace.admitted(sized.where("not new"), sized.where("new"), 60_000).select("key", "flag")
+
+
+@query("""with x as (select o_custkey::varchar as key, sum(strlen(o_orderpriority))::bigint as bytes, count(*) as freq, max(o_orderkey) as seq from orders group by 1),
+run as (select *, coalesce(sum(bytes) over (order by freq, seq, key rows between unbounded preceding and 1 preceding), 0) as before from x)
+select o_custkey::varchar as key, o_orderpriority as value from orders where o_custkey::varchar not in (select key from run where before < (select sum(bytes) - 60000 from x))""")
+def evict_applied(spark, d):
+    pairs = t.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderpriority").alias("value"))
+    gone = evict_budget(spark, d).select(F.lit("kv").alias("kind"), "key")
+    return keyspace.evicted({"kv": pairs}, gone)["kv"]
+
+
 # --- the command log
 
 
@@ -432,7 +510,72 @@ def cmd_replay_zset(spark, d):
     return cmd.replay_zset(t.zset_log(spark, d)).withColumn("score", F.round("score", 4))
 
 
+def _verbs_log(spark, d, verbs, **more):
+    """Commands of events, by the number of the event; all columns of the schema."""
+    e = t.table(spark, d, "events")
+    verb = F.lit(verbs[-1][1])
+    for every, name in reversed(verbs[:-1]):
+        verb = F.when(F.col("event_id") % every == every - 1, name).otherwise(verb)
+    own = e.select(F.col("event_id").alias("seq"), verb.alias("command"), F.concat(F.lit("k"), F.col("user_id") % 7).alias("key"), *[c.alias(n) for n, c in more.items()])
+    return own.withColumns({n: F.lit(None).cast(k) for n, k in (f.split(" ") for f in cmd.SCHEMA.split(", ")) if n not in own.columns})
+
+
+@query("""with e as (select event_id as seq, 'k' || user_id % 7 as key, user_id::varchar as field, props as value, case when event_id % 997 = 996 then 'del' when event_id % 5 = 4 then 'rm' else 'set' end as c from events),
+d as (select key, max(seq) as d from e where c = 'del' group by key), r as (select key, field, max(seq) as r from e where c = 'rm' group by key, field)
+select key, field, max_by(value, seq) as value from e left join d using (key) left join r using (key, field) where c = 'set' and seq > coalesce(d, -1) and seq > coalesce(r, -1) group by key, field""")
+def cmd_replay_hash(spark, d):
+    return cmd.replay_hash(_verbs_log(spark, d, [(997, "H_DEL"), (5, "H_RM"), (1, "H_SET")], h_field=F.col("user_id").cast("string"), value=F.col("props")))
+
+
+@query("""with e as (select event_id as seq, 'k' || user_id % 7 as key, user_id::varchar as member, (event_id % 180)::double - 90 as lat, (event_id % 360)::double - 180 as lon,
+case when event_id % 997 = 996 then 'del' when event_id % 5 = 4 then 'rm' else 'set' end as c from events),
+d as (select key, max(seq) as d from e where c = 'del' group by key), r as (select key, member, max(seq) as r from e where c = 'rm' group by key, member)
+select key, member, max_by(lat, seq) as lat, max_by(lon, seq) as lon from e left join d using (key) left join r using (key, member)
+where c = 'set' and lat between -85.05112878 and 85.05112878 and seq > coalesce(d, -1) and seq > coalesce(r, -1) group by key, member""")
+def cmd_replay_geo(spark, d):
+    n = F.col("event_id")
+    log = _verbs_log(spark, d, [(997, "GEO_DEL"), (5, "GEO_RM"), (1, "GEO_ADD")], geo_member=F.col("user_id").cast("string"), geo_lat=(n % 180).cast("double") - 90, geo_lon=(n % 360).cast("double") - 180)
+    return cmd.replay_geo(log).drop("geohash")
+
+
+@query(f"""with texts as (select distinct user_id::varchar as s from events), {_HASHED}, {_POS},
+e as (select event_id as seq, 'k' || user_id % 7 as key, user_id::varchar as value, case when event_id % 331 = 330 then 'rm' when event_id % 101 = 100 then 'init' when event_id % 211 = 210 then 'rs' else 'add' end as c from events),
+l as (select key, max(seq) filter (c = 'init') as made, max(seq) filter (c = 'rm') as gone, max(seq) filter (c = 'rs') as emptied from e group by key)
+select distinct key, bit from e join l using (key) join pos on pos.s = value where c = 'add' and made > coalesce(gone, -1) and seq > made and seq > coalesce(emptied, -1)""")
+def cmd_replay_bf(spark, d):
+    log = _verbs_log(spark, d, [(331, "BF_RM"), (101, "BF_INIT"), (211, "BF_RS"), (1, "BF_ADD")], value=F.col("user_id").cast("string"), bf_n=F.lit(1000), bf_p=F.lit(0.01))
+    return cmd.replay_bloom(log)[1]
+
+
 @query("select event_id, 'PUT' as command, user_id::varchar as key, props || '|x' as value from events")
 def cmd_parse_text(spark, d):
     e = t.table(spark, d, "events").select("event_id", F.array(F.lit("SET"), F.col("user_id").cast("string"), F.concat("props", F.lit("|x"))).alias("tokens"))
     return codec.parse(e.select("event_id", codec.request(F.col("tokens")).alias("text"))).select("event_id", "command", "key", F.get("args", F.lit(0)).alias("value"))
+
+
+@query("""select event_id as seq, case when event_id % 10 = 0 or event_id % 10 = 1 then null when event_id % 2 = 0 then 'Z_ADD' else 'PUT' end as command, case when event_id % 10 > 1 then user_id::varchar end as key,
+case when event_id % 10 > 1 then props || '|x' end as value, case when event_id % 10 > 1 and event_id % 2 = 0 then (event_id % 100)::double end as z_score,
+case when event_id % 10 > 1 and event_id % 2 = 1 then event_id end as ttl_ms, case when event_id % 10 > 1 and event_id % 2 = 1 then event_id % 3 = 1 end as not_exists from events""")
+def cmd_text_log(spark, d):
+    n, text = F.col("event_id"), F.concat("props", F.lit("|x"))
+    score = F.when(n % 10 == 0, "much").otherwise((n % 100).cast("string"))  # not a number
+    add = F.array(F.lit("z.add"), F.col("user_id").cast("string"), score, F.lit("m"), text)
+    put = F.array(F.lit("SET"), F.col("user_id").cast("string"), text, (n % 3).cast("string"), n.cast("string"))
+    some = F.when(n % 10 == 1, F.array(F.lit("GET"), F.lit("a"), F.lit("b"))).when(n % 2 == 0, add).otherwise(put)  # GET has one argument
+    requests = t.table(spark, d, "events").select(n.alias("seq"), codec.request(some).alias("text"))
+    return codec.commands(requests).select("seq", "command", "key", "value", "z_score", "ttl_ms", "not_exists")
+
+
+@query("""select event_id, case when event_id % 4 = 0 then 'N|' when event_id % 4 = 1 then 'S|' || props when event_id % 4 = 2 then 'D|' || length(props) || '|' || props else 'I|1' end as reply from events""")
+def cmd_reply_text(spark, d):
+    n = F.col("event_id") % 4
+    command = F.when(n == 1, "H_GET").when(n == 3, "DELETE").otherwise("GET")
+    e = t.table(spark, d, "events").select("event_id", command.alias("c"), F.when(n == 3, "1").when(n != 0, F.col("props")).alias("v"))
+    return e.select("event_id", codec.reply(F.col("c"), F.col("v")).alias("reply"))
+
+
+@query("""select event_id as seq, case when event_id % 997 = 996 then 'H_DEL' when event_id % 5 = 4 then 'H_RM' else 'H_SET' end as command, 'k' || user_id % 7 as key, props as value, user_id::varchar as h_field, false as not_exists, 0.0::double as z_score from events""")
+def cmd_binary_log(spark, d):
+    log = _verbs_log(spark, d, [(997, "H_DEL"), (5, "H_RM"), (1, "H_SET")], h_field=F.col("user_id").cast("string"), value=F.col("props"))
+    frames = binary.encode(log).withColumn("ts_ms", F.lit(None).cast("bigint"))
+    return binary.decode(frames).select("seq", "command", "key", "value", "h_field", "not_exists", "z_score")

@@ -1,4 +1,7 @@
-"""Bloom filters: bloom_def(key, m, k) and the set bits bloom_bits(key, bit)."""
+"""Bloom filters: bloom_def(key, m, k) and the set bits bloom_bits(key, bit).
+
+A key has one definition. Null values are blank; repeated values and bits count once. Empty tables are allowed everywhere.
+"""
 
 from __future__ import annotations
 
@@ -37,6 +40,23 @@ def exists(defs: DataFrame, bits: DataFrame, probes: DataFrame) -> DataFrame:
     return out.select("key", "value", F.when(blank, 1).otherwise(F.coalesce("all_on", F.lit(0))).alias("flag"))
 
 
+def remove(defs: DataFrame, bits: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(definitions, bits) without the filters of keys."""
+    gone = keys.select("key")
+    return defs.join(gone, "key", "left_anti"), bits.join(gone, "key", "left_anti")
+
+
+def reset(bits: DataFrame, keys: DataFrame) -> DataFrame:
+    """The bits without those of keys, whose filters stay, empty."""
+    return bits.join(keys.select("key"), "key", "left_anti")
+
+
+def add_flags(defs: DataFrame, values: DataFrame) -> DataFrame:
+    """values with flag: OK, or FAIL where there is no filter."""
+    there = defs.select("key", F.lit("OK").alias("flag"))
+    return values.join(there, "key", "left").withColumn("flag", F.coalesce("flag", F.lit("FAIL")))
+
+
 def density(defs: DataFrame, bits: DataFrame) -> DataFrame:
     """(key, set_bits, density)."""
     n = bits.groupBy("key").agg(F.count("*").alias("set_bits"))

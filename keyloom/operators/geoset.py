@@ -1,4 +1,8 @@
-"""Point sets: geo(key, member, lat, lon, geohash)."""
+"""Point sets: geo(key, member, lat, lon, geohash).
+
+A member is there once. Null keys and members match nothing and add nothing. Of several writes of a member in a batch, the column seq decides,
+or the greatest row where there is none; what is out of bounds is refused first. Empty tables are allowed everywhere.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo as g
+from .batches import last_of
 
 
 def add(points: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert by (key, member); points out of bounds are refused."""
-    good = new.where(g.in_bounds(F.col("lat"), F.col("lon"))).withColumn("geohash", g.encode(F.col("lat"), F.col("lon")))
+    good = new.where("key is not null and member is not null").where(g.in_bounds(F.col("lat"), F.col("lon")))
+    good = last_of(good, ["key", "member"]).drop("seq").withColumn("geohash", g.encode(F.col("lat"), F.col("lon")))
     return points.join(good.select("key", "member"), ["key", "member"], "left_anti").unionByName(good)
 
 

@@ -1,10 +1,16 @@
-"""String key-value pairs with expiry: kv(key, value, expire_at, seq). Reads are pure; writes make a new table."""
+"""String key-value pairs with expiry: kv(key, value, expire_at, seq). Reads are pure; writes make a new table.
+
+A key is there once. Null keys are no keys: they match nothing and put nothing. Of several writes of a key in a batch, seq
+decides; repeated keys of a read give repeated rows. Empty tables are allowed everywhere.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import is_first, last_of, removed
+
 
 def live(now_ms: int) -> Column:
     """GET and EXISTS see a pair up to and including its expiry."""
@@ -24,14 +30,24 @@ def exists(kv: DataFrame, keys: DataFrame, now_ms: int) -> DataFrame:
 
 def put(kv: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert; a new pair replaces value and expiry. The last of a key (by seq) counts."""
-    last = new.groupBy("key").agg(F.max_by(F.struct("value", "expire_at", "seq"), "seq").alias("x")).select("key", "x.*")
+    last = last_of(new.where("key is not null").select("key", "value", "expire_at", "seq"), ["key"])
     return kv.join(last.select("key"), "key", "left_anti").unionByName(last)
 
 
 def put_if_absent(kv: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
-    """new with flag OK or FAIL: FAIL if a pair lives. At its expiry a pair counts as dead here, unlike in get()."""
+    """new with flag OK or FAIL: FAIL if a pair lives. At its expiry a pair counts as dead here, unlike in get().
+
+    Of several rows of a key the first by seq may be OK; without the column seq they are one command. Null keys fail.
+    """
     held = kv.where(F.col("expire_at").isNull() | (F.col("expire_at") > now_ms)).select("key", F.lit("FAIL").alias("flag"))
-    return new.join(held, "key", "left").withColumn("flag", F.coalesce("flag", F.lit("OK")))
+    out = is_first(new.where("key is not null"), ["key"]).join(held, "key", "left")
+    out = out.withColumn("flag", F.when(F.col("flag").isNull() & F.col("first"), "OK").otherwise("FAIL")).drop("first")
+    return out.unionByName(new.where("key is null").withColumn("flag", F.lit("FAIL")))
+
+
+def delete_flags(kv: DataFrame, keys: DataFrame, now_ms: int) -> DataFrame:
+    """keys with flag: 1 if the command deletes a live pair, else 0; of several of a key (by seq) the first deletes it."""
+    return removed(kv.where(live(now_ms)), keys, ["key"])
 
 
 def delete(kv: DataFrame, keys: DataFrame) -> DataFrame:

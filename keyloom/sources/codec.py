@@ -1,10 +1,12 @@
-"""The length-prefixed text form of requests and replies, as column expressions."""
+"""The length-prefixed text form of requests and replies, as column expressions. A null text has no tokens and no command."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.commands import SCHEMA
+
 # Text verbs of the commands.
 VERBS = {
     "SET": "PUT", "GET": "GET", "DEL": "DELETE", "EXISTS": "EXISTS", "CLEAR": "CLEAR", "KEYS": "LST_KEY",
@@ -21,26 +23,49 @@ def request(tokens: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The tokens of a request. They may hold bars, so lengths are followed; null where the text breaks off."""
-    n = F.substring_index(text, "|", 1).try_cast("int")
-    rest = F.substr(text, F.length(F.substring_index(text, "|", 1)) + 2)
-    start = F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("out"))
+    """The tokens of a request. They may hold bars, so lengths are followed; null where the text breaks off.
+
+    A token takes two characters or more, so a number of tokens beyond half the text's length breaks off too.
+    """
+    head = F.substring_index(text, "|", 1)
+    n = head.try_cast("int")
+    some = F.when((n > 0) & (n <= F.length(text)), F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    start = F.struct((F.length(head) + 2).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, _: Column) -> Column:
-        size = F.substring_index(a["rest"], "|", 1)
-        at = F.length(size) + 2
-        length = size.try_cast("int")
-        token = F.substr(a["rest"], at, length)
-        whole = F.when(F.length(token) == length, token)
-        return F.struct(F.substr(a["rest"], at + length + 1).alias("rest"), F.concat(a["out"], F.array(whole)).alias("out"))
+        bar = F.call_function("locate", F.lit("|"), text, a["at"])
+        length = F.when(bar > 0, F.substr(text, a["at"], bar - a["at"]).try_cast("int"))
+        token = F.when(length >= 0, F.substr(text, bar + 1, length))
+        return F.struct((bar + 2 + F.coalesce(length, F.lit(0))).alias("at"), F.concat(a["out"], F.array(F.when(F.length(token) == length, token))).alias("out"))
 
-    out = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), start, step)["out"]
-    return F.when(n.isNotNull() & ~F.exists(out, lambda t: t.isNull()), out)
+    out = F.aggregate(some, start, step)["out"]
+    return F.when((F.size(out) == n) & ~F.exists(out, lambda t: t.isNull()), out)
 
 
 def cli_tokens(line: Column) -> Column:
-    """A typed line split at white space outside double quotes, which are taken off."""
-    return F.transform(F.split(F.trim(line), r'\s+(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda t: F.regexp_replace(t, '^"|"$', ""))
+    """The words of a typed line. A quoted stretch belongs to its word, white space included; a word in quotes loses them.
+
+    A quote that none follows is a character like others.
+    """
+    word = r'((?:"[^"]*"|[^"\s]|"(?=[^"]*$))+)'
+    quoted = lambda t: (F.length(t) >= 2) & t.startswith('"') & t.endswith('"')
+    return F.transform(F.regexp_extract_all(line, F.lit(word), F.lit(1)), lambda t: F.when(quoted(t), F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t))
+
+
+# Tokens of a request (least and most; None: any) and what those after the verb are.
+ARGUMENTS = {
+    "PUT": (3, None, "key value not_exists ttl_ms"), "GET": (2, 2, "key"), "DELETE": (2, 2, "key"), "EXISTS": (2, 2, "key"), "CLEAR": (1, None, ""), "LST_KEY": (1, None, ""),
+    "BF_INIT": (4, None, "key bf_n bf_p"), "BF_ADD": (3, 3, "key value"), "BF_EXISTS": (2, None, "key value"), "BF_RM": (2, 2, "key"), "BF_RS": (2, 2, "key"),
+    "Z_ADD": (5, 5, "key z_score z_member value"), "Z_INCR": (4, 4, "key z_member z_score"), "Z_SCR": (3, 3, "key z_member"), "Z_RANK": (3, 3, "key z_member"), "Z_POS": (3, 3, "key z_idx"),
+    "Z_RANGE": (4, 4, "key z_start z_stop"), "Z_RSCR": (4, 4, "key z_min z_max"), "Z_TOP": (3, 3, "key z_start"), "Z_RM": (3, 3, "key z_member"), "Z_DEL": (2, 2, "key"),
+    "GEO_ADD": (5, 5, "key geo_member geo_lat geo_lon"), "GEO_SEARCH": (5, None, "key geo_lat geo_lon geo_radius limit_n"), "GEO_DIST": (4, 4, "key geo_member geo_member2"), "GEO_GET": (3, 3, "key geo_member"),
+    "GEO_NB": (3, 3, "key geo_member"), "GEO_EXISTS": (3, 3, "key geo_member"), "GEO_ENCODE": (3, 3, "key geo_member"), "GEO_RM": (3, 3, "key geo_member"), "GEO_DEL": (2, 2, "key"),
+    "H_SET": (4, 4, "key h_field value"), "H_GET": (3, 3, "key h_field"), "H_ALL": (2, 2, "key"), "H_RM": (3, 3, "key h_field"), "H_DEL": (2, 2, "key"),
+}
+
+# The form of each command's reply; all others are whole numbers.
+TEXTS = "PUT BF_ADD BF_INIT Z_POS Z_ADD Z_SCR GEO_ADD GEO_ENCODE H_GET H_SET".split()
+SIZED = "GET LST_KEY Z_RANGE Z_TOP Z_RSCR GEO_SEARCH GEO_DIST GEO_GET GEO_NB H_ALL".split()
 
 
 def parse(requests: DataFrame, column: str = "text") -> DataFrame:
@@ -51,6 +76,32 @@ def parse(requests: DataFrame, column: str = "text") -> DataFrame:
     return out.withColumns({"command": F.try_element_at(verbs, F.upper(F.get("__t", F.lit(0)))), "key": F.get("__t", F.lit(1)), "args": F.slice("__t", 3, F.greatest(F.size("__t") - 2, F.lit(0)))}).drop("__t")
 
 
-def reply(value: Column) -> Column:
-    """The text of a reply: N| for none, I| for a whole number, else S|."""
-    return F.when(value.isNull(), F.lit("N|")).when(value.rlike(r"^[+-]?\d{1,9}$"), F.concat(F.lit("I|"), value)).otherwise(F.concat(F.lit("S|"), value))
+def commands(requests: DataFrame, column: str = "text") -> DataFrame:
+    """requests as rows of the command schema; the columns seq and ts_ms of requests are kept, null if there are none.
+
+    The command is null, and so are its arguments, for an unknown verb, a wrong number of tokens, or an argument that isn't of its type.
+    """
+    kinds = dict(f.split(" ") for f in SCHEMA.split(", "))
+    verbs = F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair])
+    rows = requests.withColumn("__t", tokens(F.col(column)))
+    rows = rows.withColumn("__c", F.try_element_at(verbs, F.upper(F.get("__t", F.lit(0))))).withColumn("__n", F.size("__t"))
+    found: dict[str, Column] = {}
+    sound = F.lit(None).cast("boolean")
+    for command, (least, most, names) in ARGUMENTS.items():
+        own, good = F.col("__c") == command, F.col("__n").between(least, most if most is not None else 1 << 30)
+        for i, name in enumerate(names.split(), 1):
+            token = F.get("__t", F.lit(i))
+            value = token if kinds[name] == "string" else token.try_cast("int") == 1 if name == "not_exists" else token.try_cast(kinds[name])
+            good &= token.isNull() | value.isNotNull()
+            found[name] = found[name].when(own, value) if name in found else F.when(own, value)
+        sound = F.when(own, good).otherwise(sound)
+    rows = rows.withColumn("__ok", F.coalesce(sound, F.lit(False)))
+    out = {"command": F.col("__c")} | found
+    kept = [F.col(c).cast("bigint").alias(c) if c in requests.columns else F.lit(None).cast("bigint").alias(c) for c in ("seq", "ts_ms")]
+    return rows.select(*kept, *[F.when(F.col("__ok"), out[c]).cast(k).alias(c) if c in out else F.lit(None).cast(k).alias(c) for c, k in kinds.items() if c not in ("seq", "ts_ms")])
+
+
+def reply(command: Column, value: Column) -> Column:
+    """The text of a command's reply: N| for none, else S|, D| with the length, or I|, as the command has it."""
+    sized = F.concat(F.lit("D|"), F.length(value).cast("string"), F.lit("|"), value)
+    return F.when(value.isNull(), F.lit("N|")).when(command.isin(TEXTS), F.concat(F.lit("S|"), value)).when(command.isin(SIZED), sized).otherwise(F.concat(F.lit("I|"), value))
