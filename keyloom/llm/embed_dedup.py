@@ -9,8 +9,9 @@ with x.y >= t, x.(c - d) >= 0 gives
     t * y.(d - c) <= sqrt(1 - t^2) * |(c - d) without its part along y|,
 
 so y visits c wherever this holds. Within a cell, blocks of home vectors meet
-blocks of all its vectors; a pair of blocks gives counts of links and a
-spanning forest, never its pairs.
+blocks of all its vectors, some rows at a time; a pair of blocks gives counts of
+links and a spanning forest, never its pairs. Blocks are large, so that a vector
+is sent to few of them.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .common import list_parts, stage
 from .components import components
 from .groups import by_group, forest
 
-#: Vectors that k-means is fitted on, at most; wanted vectors of a label in a cell; centroids, at most; vectors in a block.
-SAMPLE, CELL, CENTROIDS, BLOCK = 8192, 4096, 256, 1024
+#: Vectors that k-means is fitted on, at most; wanted vectors of a label in a cell; centroids, at most; vectors in a block; and that are compared at once.
+SAMPLE, CELL, CENTROIDS, BLOCK, ROWS = 8192, 16384, 256, 8192, 256
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -113,11 +114,18 @@ def _compare(t: float):
             home, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(home) or not len(every):
                 continue
-            near = (unit[home] @ unit[every].T >= t) & (ids[home][:, None] != ids[every][None, :])
-            links = near @ w[every]
-            x, y = np.nonzero(near)
             both, place = np.unique(ids, return_inverse=True)
-            a, b = forest(both, [(place[home][x], place[every][y])])
+            links, others, weights = np.zeros(len(home), np.int64), np.ascontiguousarray(unit[every].T), w[every]
+
+            def linked(home=home, every=every, ids=ids, unit=unit, place=place, links=links, others=others, weights=weights):
+                for s in range(0, len(home), ROWS):
+                    own = home[s : s + ROWS]
+                    near = (unit[own] @ others >= t) & (ids[own][:, None] != ids[every][None, :])
+                    links[s : s + ROWS] = near @ weights
+                    x, y = np.nonzero(near)
+                    yield place[own][x], place[every][y]
+
+            a, b = forest(both, linked())
             some = links > 0
             n = int(some.sum())
             yield pa.RecordBatch.from_arrays(
@@ -128,7 +136,7 @@ def _compare(t: float):
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, sample: int = SAMPLE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label).
+    """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label). threshold: over 0, up to 1.
 
     Rows link when their labels are equal and their cosine, in double
     precision, is at least `threshold`. n_links: other rows linked directly;
@@ -142,6 +150,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, sample: int = S
     vec_id are rows like others, in the component of their vec_id. Other columns
     are ignored; an empty table gives an empty table.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is over 0 and up to 1")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     ready = stage(rows.mapInArrow(_prepare, "vec_id long, label string, dim int, key binary, unit binary"), "vectors")
     able = ready.where("vec_id is not null and key is not null")
