@@ -103,6 +103,8 @@ def near_links(points: DataFrame, radius: int = 4) -> DataFrame:
     gives a spanning forest, not its pairs.
     """
     masks = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("mask")) for t, m in enumerate(covering_masks(radius))])
+    # dealt out before they are multiplied by the tables; a number keeps the parts from being joined again
+    points = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     slots = points.select("fp", "rep", F.explode(masks).alias("s")).select(F.col("s.t").alias("t"), F.col("fp").bitwiseAND(F.col("s.mask")).alias("key"), "fp", "rep")
     me = F.struct("fp", "rep")
     sizes = stage(slots.groupBy("t", "key").agg(F.count("*").alias("n"), F.min(me).alias("x"), F.max(me).alias("y")).where("n > 1"), "buckets")
