@@ -38,13 +38,19 @@ class Vocabulary:
     scores: dict[str, float]
     bytes_: list[int]
     spelled: list[bytes]
-    prefix: bool = True
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        """Read a .model file with byte pieces, identity normalisation and a space mark before the text."""
+        """Read a .model file with byte pieces, identity normalisation and a space mark before the text; ValueError for others."""
         import sentencepiece
-
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            proto.ParseFromString(f.read())
+        n = proto.normalizer_spec
+        if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.add_dummy_prefix or not n.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only models that leave texts as they are and put a space mark before them can be used")
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         ids, scores, spelled, byte_ids = {}, {}, [], [-1] * 256
         for i in range(m.get_piece_size()):
@@ -162,8 +168,6 @@ class Encoder(dict):
         self.segments = None if parts else re.compile(f"{some}{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+")
 
     def __missing__(self, segment: str) -> bytes:
-        if segment == "":
-            ids = None
         ids = self.search.feed(segment)
         ids += self.search.finish()
         out = array("i", ids).tobytes()
@@ -238,13 +242,14 @@ def encode(docs: DataFrame, model: str | Vocabulary = DEFAULT_MODEL, text: str =
 
 
 def decode(tokens: DataFrame, model: str | Vocabulary = DEFAULT_MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """tokens with the column `out`: the text of its ids. Null ids give null, none the empty text; ids outside the vocabulary are an error."""
+    """tokens with the column `out`: the text of its ids. No ids give the empty text; null ids, and ids that the vocabulary hasn't or a null among them, give null."""
     vocabulary = model if isinstance(model, Vocabulary) else Vocabulary.load(model)
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf(T.StringType())
     def spell(column):
         encoder = Encoder(shared.value)
-        return column.map(lambda x: None if x is None else encoder.decode(x))
+        size = len(encoder.v.spelled)
+        return column.map(lambda x: None if x is None or any(i is None or i != i or not 0 <= i < size for i in x) else encoder.decode([int(i) for i in x]))
 
     return tokens.withColumn(out, spell(F.col(ids)))
