@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks, mix64, text_parts
 
-#: Slots of the hashed n-grams (a power of two); labelled rows that are learnt from, at most.
-SLOTS, SAMPLE, ORDERS = 1 << 14, 6000, (1, 2, 3)
+#: Slots of the hashed n-grams (a power of two); weights, at most (with more languages there are fewer slots); labelled rows that are learnt from, at most.
+SLOTS, WEIGHTS, SAMPLE, ORDERS = 1 << 14, 1 << 24, 6000, (1, 2, 3)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -50,28 +50,33 @@ def folded(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.where(is_letter, np.where(high, points, lower[low]), np.uint32(32)), is_letter
 
 
-def counts(points: np.ndarray) -> np.ndarray:
+def slots_for(langs: int) -> int:
+    """SLOTS, or the greatest power of two, 64 at least, that keeps slots x languages within WEIGHTS."""
+    return min(SLOTS, max(64, 1 << max(0, (WEIGHTS // max(1, langs)).bit_length() - 1)))
+
+
+def counts(points: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """How often each slot occurs among the n-grams of a text; runs of spaces count as one."""
     padded = np.concatenate([[32], points, [32]]).astype(np.uint64)
     padded = padded[np.concatenate([[True], (padded[1:] != 32) | (padded[:-1] != 32)])]
-    out = np.zeros(SLOTS, np.float64)
+    out = np.zeros(slots, np.float64)
     gram = np.zeros(len(padded), np.uint64)
     for n in ORDERS:
         if len(padded) < n:
             break
         gram = gram[: len(padded) - n + 1] * np.uint64(0x200000) + padded[n - 1 :] if n > 1 else padded.copy()
-        slot = mix64(gram + np.uint64(n << 60)) & np.uint64(SLOTS - 1)
-        out += np.bincount(slot.astype(np.int64), minlength=SLOTS)
+        slot = mix64(gram + np.uint64(n << 60)) & np.uint64(slots - 1)
+        out += np.bincount(slot.astype(np.int64), minlength=slots)
     return out
 
 
-def _count_rows(texts: pa.Array) -> Iterator[tuple[int, np.ndarray | None]]:
+def _count_rows(texts: pa.Array, slots: int) -> Iterator[tuple[int, np.ndarray | None]]:
     """(row, counts) of each text; None if it has no letter."""
     raw, offsets, _ = text_parts(texts)
     for a, b in blocks(offsets):
         for r in range(a, b):
             points, is_letter = folded(raw[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace"))
-            yield r, counts(points) if is_letter.any() else None
+            yield r, counts(points, slots) if is_letter.any() else None
 
 
 @dataclass
@@ -134,22 +139,21 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    langs, spark = sorted(sizes), rows.sparkSession
-    if len(langs) > 1000:
-        raise ValueError("over 1000 languages: the weights are broadcast, so their number is bounded")
+    langs = sorted(sizes)
+    slots = slots_for(len(langs))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = 0, np.zeros(SLOTS, np.int64)
+        total, seen = 0, np.zeros(slots, np.int64)
         for batch in batches:
-            for _, n in _count_rows(batch.column("text")):
+            for _, n in _count_rows(batch.column("text"), slots):
                 if n is not None:
                     total += 1
                     seen += n > 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, SLOTS, dtype=np.int32)), pa.array(np.concatenate([[total], seen]))], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, slots, dtype=np.int32)), pa.array(np.concatenate([[total], seen]))], names=["slot", "n"])
 
     found = {r["slot"]: r["n"] for r in rows.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     total = found.get(-1, 0)
-    idf = np.array([math.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(SLOTS)])
+    idf = np.array([math.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(slots)])
 
     each = max(2, sample // len(langs))
     # somewhat over `each` rows of a language pass, by a margin for chance, so their number doesn't grow with the table
@@ -162,7 +166,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
         for batch in batches:
             out: dict[str, list] = {"lang": [], "u": [], "slots": [], "values": []}
             langs_, us = batch.column("lang").to_pylist(), batch.column("u").to_pylist()
-            for r, n in _count_rows(batch.column("text")):
+            for r, n in _count_rows(batch.column("text"), slots):
                 if n is not None:
                     at = np.flatnonzero(n)
                     x = np.log1p(n[at]) * idf[at]
@@ -182,7 +186,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
             (check if i % 5 == 4 else learn).append((x, y))
     if not learn:
         return None
-    weights, bias = ftrl([x for x, _ in learn], [y for _, y in learn], SLOTS, len(langs))
+    weights, bias = ftrl([x for x, _ in learn], [y for _, y in learn], slots, len(langs))
     model = Model(langs, idf, weights, bias)
     if check:
         logits = np.array([v @ weights[at] + bias for (at, v), _ in check])
@@ -213,7 +217,7 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str], text: str
         for batch in batches:
             langs, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
             if m is not None:
-                for r, n in _count_rows(batch.column("__text")):
+                for r, n in _count_rows(batch.column("__text"), len(m.idf)):
                     if n is not None:
                         p = m.probabilities(n)
                         best = int(np.argmax(p))

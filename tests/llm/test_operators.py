@@ -158,6 +158,10 @@ def test_simhash(spark, monkeypatch):
     odd = simhash.simhash_dedup(documents(spark, ["a b c d", "e f g h", "e f g h", None], [None, 1, 2, 3])).collect()
     assert {(r.doc_id, r.component_id) for r in odd} == {(None, None), (1, 1), (2, 1), (3, 3)}
     assert simhash.simhash_dedup(documents(spark, [])).count() == 0
+    text = "v w x y z " * 150_000  # over a block
+    long = documents(spark, [text, text, "v"]).withColumn("fp", F.lit("clash")).withColumn("component_id", F.lit(1))
+    prints = [f"{simple_fingerprint(t):016x}" for t in (text, "v")]
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_dedup(long).collect()} == {0: (prints[0], 0), 1: (prints[0], 0), 2: (prints[1], 2)}
 
 
 def test_masks_cover():
@@ -225,6 +229,10 @@ def test_decontamination(spark, bound, block):
     kept = decontam.decontaminate(df, benchmark, action="documents", broadcast_bytes=bound, block=block)
     assert {r.doc_id for r in kept.collect()} == {d for d, x in expected.items() if not x[3]}
     assert decontam.decontaminate(df, benchmark.where("false"), broadcast_bytes=bound, block=block).where("n_hit > 0").count() == 0
+    assert decontam.decontaminate(df.where("false"), benchmark, broadcast_bytes=bound, block=block).count() == 0
+    short = benchmark.select(F.col("item_id").cast("smallint").alias("item_id"), "text")
+    out = decontam.decontaminate(df.withColumn("doc_id", F.lit(None).cast("long")), short, broadcast_bytes=bound, block=block)
+    assert sorted((r.n_words, r.n_hit, list(r["items"])) for r in out.collect()) == sorted(x[:3] for x in expected.values())
 
 
 def test_sentencepiece(spark):
@@ -280,6 +288,54 @@ def test_language_id_rare(spark, monkeypatch):
     assert [r.lang_pred for r in langid.predict(documents(spark, ["xyz"]), model, ["doc_id"]).collect()] == ["rare"]
 
 
+def test_language_id_counts():
+    """n-grams of a text against plain counting, and slots for many languages."""
+    text = "  Ärger, 12 ÄB\n\U0001d400x "
+    points, is_letter = langid.folded(text)
+    plain = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split()) + " "
+    grams = defaultdict(int)
+    for n in (1, 2, 3):
+        for k in range(len(plain) - n + 1):
+            value = 0
+            for c in plain[k : k + n]:
+                value = (value * 0x200000 + ord(c)) % 2**64
+            slot = int(langid.mix64(np.array([(value + (n << 60)) % 2**64], np.uint64))[0]) % langid.SLOTS
+            grams[slot] += 1
+    got = langid.counts(points)
+    assert {i: int(got[i]) for i in np.flatnonzero(got)} == grams and is_letter.sum() == 9
+    assert [langid.slots_for(n) for n in (1, 1024, 1025, 8000, 10**6)] == [1 << 14, 1 << 14, 1 << 13, 1 << 11, 64]
+
+
+def test_language_id_odd_texts(spark):
+    """Nulls, empty and letterless texts, and a long one, with a model; an empty table."""
+    rows = spark.createDataFrame([(i, "abc cba" if i % 2 else "xyz zyx", "ab"[i % 2]) for i in range(40)] + [(90, None, "a"), (91, "12", None), (None, "abc", "b")], "key long, text string, lang string")
+    model = langid.train(rows)
+    texts = [None, "", "12 !?\n", "abc " * 400_000, "zyx", "zyx"]
+    df = documents(spark, texts).withColumn("score", F.lit("clash"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model, ["doc_id", "score"]).collect()}
+    assert [got[i][0] for i in range(6)] == ["und", "und", "und", "b", "a", "a"] and got[0][1] == 0.0 and 0.5 < got[3][1] <= 1
+    assert langid.predict(df.where("false"), model, ["doc_id"]).count() == 0
+
+
+def test_sentencepiece_odd_ids(spark):
+    """Ids that the vocabulary hasn't, and nulls among them, give null."""
+    df = spark.createDataFrame([(0, [-1]), (1, [None, 5]), (2, None), (3, []), (4, [10**9])], "doc_id long, ids array<int>").withColumn("decoded", F.lit(1))
+    assert {r.doc_id: r.decoded for r in spm.decode(df).collect()} == {0: None, 1: None, 2: None, 3: "", 4: None}
+    empty = documents(spark, []).withColumn("ids", F.lit("clash"))
+    assert spm.encode(empty).count() == 0 and spm.encode(empty).schema["ids"].dataType.simpleString() == "array<int>"
+
+
+def test_embeddings_odd_rows(spark):
+    """Null and repeated ids, extra columns, thresholds out of range."""
+    rows = [(None, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (3, [0.0, 2.0], 1), (9, [1.0, 0.015625], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("kept", F.lit("clash"))
+    got = sorted((r.vec_id or -1, r.component_id, r.kept) for r in embed_dedup.embedding_dedup(df).collect())
+    assert got == [(-1, None, True), (3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False)]
+    for t in (0, -1, 1.5):
+        with pytest.raises(ValueError):
+            embed_dedup.embedding_dedup(df, t)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     rows = queries.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -292,6 +348,8 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score(odd, None).collect()} == {0}
     net = toxicity.fit([b"good day", b"vile scum"] * 10, [0, 1] * 10)
     assert {r.doc_id: r.predicted for r in toxicity.score(odd, net).collect()} | {3: 0} == {0: 0, 1: 0, 2: 0, 3: 0}
+    long = documents(spark, ["good day " * 300_000 + "vile scum", "vile scum", "good day"])
+    assert [r.predicted for r in toxicity.score(long, net).orderBy("doc_id").collect()][1:] == [1, 0] and toxicity.score(long.where("false"), net).count() == 0
     assert toxicity.train(odd.where("false"), spark.createDataFrame([], "doc_id long, toxic int")) is None
 
 
