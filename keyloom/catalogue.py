@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import geo as g
+from .functions import render
 from .operators import bloom, fields, geoset, keyspace, kv, zset
 from .plans import commands as cmd
 from .sources import binary, codec
@@ -212,6 +214,12 @@ def z_top(spark, d):
     return zset.top(t.zset(spark, d), 10)
 
 
+@query(f"with {_Z} select key, '[' || string_agg(value, ',' order by rn) || ']' as text from ranked where rn <= 10 group by key")
+def z_top_text(spark, d):
+    few = zset.top(t.zset(spark, d), 10).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("x"))  # ten of a set
+    return few.select("key", render.listed(F.col("x.value")).alias("text"))
+
+
 @query(f"with {_Z} select key, m.member, coalesce(rn, -1) as rank from (select c_mktsegment as key, c_name as member from customer union all select 'BUILDING', s_name from supplier) m left join ranked using (key, member)")
 def z_rank(spark, d):
     asked = t.zset(spark, d).select("key", "member").union(t.table(spark, d, "supplier").select(F.lit("BUILDING"), "s_name"))
@@ -376,6 +384,27 @@ def geo_del(spark, d):
     return geoset.drop(t.points(spark, d), spark.sql("select 'MACHINERY' as key")).drop("geohash")
 
 
+@query(f"with {_GEO} select key, member, '[' || printf('%.6f', {_lat_sql('yi')}) || ',' || printf('%.6f', {_lon_sql('xi')}) || ']' as text from geo")
+def geo_get_text(spark, d):
+    return geoset.position(t.points(spark, d)).select("key", "member", render.point(F.col("lat"), F.col("lon")).alias("text"))
+
+
+@query("select s_suppkey, case when s_suppkey * 37 <= 50 then 0 when s_suppkey * 37 <= 500 then 3 when s_suppkey * 37 <= 5000 then 6 when s_suppkey * 37 <= 50000 then 10 else 14 end as bits from supplier")
+def geo_step_shift(spark, d):
+    return t.table(spark, d, "supplier").select("s_suppkey", g.step_shift(F.col("s_suppkey") * 37).alias("bits"))
+
+
+_BOXES = """n as (select n_nationkey as id, (n_nationkey - 12)::double * 5 as south, (n_nationkey - 12)::double * 5 + 9 as north, n_nationkey::double * 14 - 170 as west, n_nationkey::double * 14 - 150 as east from nation)"""
+_CORNER = "select id, i, j, trunc((greatest(least(south + (i + {0}) * ((north - south) / 3.0::double), 85.05112878::double), -85.05112878::double) + 85.05112878::double) / 170.10225756::double * 67108863.0::double)::bigint as yi, trunc((greatest(least(west + (j + {0}) * ((east - west) / 3.0::double), 180.0::double), -180.0::double) + 180.0::double) / 360.0::double * 67108863.0::double)::bigint as xi from n, range(0, 3) a(i), range(0, 3) b(j)"
+
+
+@query(f"with {_BOXES}, low as (select id, i, j, {_HASH}::bigint as a from ({_CORNER.format(0)})), high as (select id, i, j, {_HASH}::bigint as b from ({_CORNER.format(1)})) select id, least(a, b) as lo, greatest(a, b) as hi from low join high using (id, i, j)")
+def geo_box_ranges(spark, d):
+    k = F.col("n_nationkey")
+    south, west = (k - 12).cast("double") * 5, k.cast("double") * 14 - 170
+    return t.table(spark, d, "nation").select(k.alias("id"), F.explode(g.box_ranges(south, south + 9, west, west + 20)).alias("x")).select("id", "x.lo", "x.hi")
+
+
 # --- field hashes
 
 
@@ -579,3 +608,9 @@ def cmd_binary_log(spark, d):
     log = _verbs_log(spark, d, [(997, "H_DEL"), (5, "H_RM"), (1, "H_SET")], h_field=F.col("user_id").cast("string"), value=F.col("props"))
     frames = binary.encode(log).withColumn("ts_ms", F.lit(None).cast("bigint"))
     return binary.decode(frames).select("seq", "command", "key", "value", "h_field", "not_exists", "z_score")
+
+
+@query("select event_id as seq, 'Z_ADD' as command, 'k' || user_id % 7 as key, (event_id % 100)::double / 8 as z_score, user_id::varchar as z_member, 0::bigint as ttl_ms, false as not_exists from events")
+def cmd_replicated_log(spark, d):
+    log = _verbs_log(spark, d, [(1, "Z_ADD")], z_member=F.col("user_id").cast("string"), z_score=(F.col("event_id") % 100).cast("double") / 8)
+    return codec.from_replicated(codec.replicated(log)).select("seq", "command", "key", "z_score", "z_member", "ttl_ms", "not_exists")

@@ -82,3 +82,30 @@ def neighbours(geohash: Column) -> Column:
         x = (lon + dx).bitwiseAND(GRID)
         cells.append(F.struct(F.lit(name).alias("dir"), interleave(y, x).alias("geohash")))
     return F.array(*cells)
+
+
+# Bounds of radii in metres, and the bits that cells of a search are coarser by.
+SHIFTS = ((50, 0), (500, 3), (5_000, 6), (50_000, 10))
+WIDEST_SHIFT = 14
+
+
+def step_shift(radius_m: Column) -> Column:
+    """The bits by which the cells of a search of a radius are coarser than the grid."""
+    out = F.lit(WIDEST_SHIFT)
+    for most, bits in reversed(SHIFTS):
+        out = F.when(radius_m <= most, bits).otherwise(out)
+    return out
+
+
+def box_ranges(south: Column, north: Column, west: Column, east: Column, parts: int = 3) -> Column:
+    """Array of (lo, hi): the geohashes of opposite corners of the parts x parts pieces of a box, from the south-west, the lesser first."""
+
+    def cut(low: Column, high: Column, k: int) -> Column:
+        return low + F.lit(k) * ((high - low) / F.lit(float(parts)))
+
+    pieces = []
+    for i in range(parts):
+        for j in range(parts):
+            a, b = (encode(cut(south, north, i + d), cut(west, east, j + d)) for d in (0, 1))
+            pieces.append(F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")))
+    return F.array(*pieces)

@@ -19,9 +19,13 @@ def signed(word: Column) -> Column:
 
 def string_hash(text: Column) -> Column:
     """s[0]*31^(n-1) + ... + s[n-1] over UTF-16 units, as a signed 32-bit number in a bigint; null for null."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    each = F.transform(F.sequence(F.lit(0), F.greatest(F.shiftright(F.length(units), 2) - 1, F.lit(0))), lambda i: F.conv(F.substring(units, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
-    word = F.aggregate(F.when(F.length(units) > 0, each).otherwise(F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, c: (a * 31 + c).bitwiseAND(_MASK))
+    points = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))  # of the characters; 0 for the empty text
+
+    def step(a: Column, c: Column) -> Column:
+        high, low = F.shiftright(c - 0x10000, 10) + 0xD800, (c - 0x10000).bitwiseAND(0x3FF) + 0xDC00  # two units beyond the basic plane
+        return F.when(c < 0x10000, a * 31 + c).otherwise((a * 31 + high).bitwiseAND(_MASK) * 31 + low).bitwiseAND(_MASK)
+
+    word = F.aggregate(points, F.lit(0).cast("long"), step)
     return F.when(text.isNotNull(), signed(word))
 
 

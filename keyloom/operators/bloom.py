@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import bloom_positions, string_hash
 
+#: Bits of all filters, up to which they are packed and broadcast to the probes (8 MB).
+BROADCAST_BITS = 1 << 26
+
 
 def init(wanted: DataFrame) -> DataFrame:
     """(key, m, k) of wanted (key, n, p). Rows with n <= 0 or p outside (0, 1) are refused and left out."""
@@ -33,11 +36,20 @@ def add(defs: DataFrame, bits: DataFrame | None, values: DataFrame) -> DataFrame
 def exists(defs: DataFrame, bits: DataFrame, probes: DataFrame) -> DataFrame:
     """(key, value, flag) of probes: 1 if all positions are set, or if the value is blank and there is a filter."""
     asked = probes.distinct()
+    blank = F.coalesce(F.trim("value") == "", F.lit(True))
+    if (defs.agg(F.sum("m")).first()[0] or 0) <= BROADCAST_BITS:
+        word = F.col("bit") / 64
+        words = bits.groupBy("key", F.floor(word).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("mask"))
+        packed = defs.join(words.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("w", "mask"))).alias("words")), "key", "left")
+        last = F.floor((F.col("m") - 1) / 64)
+        whole = packed.select("key", "m", "k", F.transform(F.sequence(F.lit(0).cast("long"), last), lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("long"))).alias("words"))
+        hit = F.forall(bloom_positions(F.col("h"), F.col("m"), F.col("k")), lambda b: F.getbit(F.get("words", F.floor(b / 64).cast("int")), (b % 64).cast("int")) == 1)
+        out = asked.withColumn("h", string_hash(F.col("value"))).join(F.broadcast(whole), "key", "left")  # within BROADCAST_BITS
+        return out.select("key", "value", F.when(F.col("m").isNull(), 0).when(blank, 1).otherwise(hit.cast("int")).alias("flag"))
     set_ = positions(defs, asked).join(bits.withColumn("on", F.lit(1)), ["key", "bit"], "left")
     found = set_.groupBy("key", "value").agg(F.min(F.coalesce("on", F.lit(0))).alias("all_on"))
-    blank = F.coalesce(F.trim("value") == "", F.lit(True)) & F.col("there").isNotNull()
     out = asked.join(defs.select("key", F.lit(1).alias("there")), "key", "left").join(found, ["key", "value"], "left")
-    return out.select("key", "value", F.when(blank, 1).otherwise(F.coalesce("all_on", F.lit(0))).alias("flag"))
+    return out.select("key", "value", F.when(blank & F.col("there").isNotNull(), 1).otherwise(F.coalesce("all_on", F.lit(0))).alias("flag"))
 
 
 def remove(defs: DataFrame, bits: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:

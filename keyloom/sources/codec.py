@@ -105,3 +105,32 @@ def reply(command: Column, value: Column) -> Column:
     """The text of a command's reply: N| for none, else S|, D| with the length, or I|, as the command has it."""
     sized = F.concat(F.lit("D|"), F.length(value).cast("string"), F.lit("|"), value)
     return F.when(value.isNull(), F.lit("N|")).when(command.isin(TEXTS), F.concat(F.lit("S|"), value)).when(command.isin(SIZED), sized).otherwise(F.concat(F.lit("I|"), value))
+
+
+# The fields of a replicated write, in order.
+REPLICATED = "command key value ttl_ms not_exists bf_n bf_p z_score z_member geo_member geo_lat geo_lon h_field".split()
+
+
+def replicated(commands_: DataFrame) -> DataFrame:
+    """(seq, text) of rows of the command schema: the fields by bars, decimals with six places, nulls as 0, false or nothing. Texts that hold bars can't be told apart."""
+    kinds = dict(f.split(" ") for f in SCHEMA.split(", "))
+
+    def field(name: str) -> Column:
+        kind = kinds[name]
+        if kind == "double":
+            return F.format_string("%.6f", F.coalesce(F.col(name), F.lit(0.0)))
+        return F.coalesce(F.col(name).cast("string"), F.lit({"string": "", "boolean": "false"}.get(kind, "0")))
+
+    return commands_.select("seq", F.concat_ws("|", *map(field, REPLICATED)).alias("text"))
+
+
+def from_replicated(rows: DataFrame) -> DataFrame:
+    """Rows of the command schema of (seq, ts_ms, text); the command is null where fields are missing, too many or of another type."""
+    kinds = dict(f.split(" ") for f in SCHEMA.split(", "))
+    parts = rows.select(*[F.col(c).cast("bigint").alias(c) if c in rows.columns else F.lit(None).cast("bigint").alias(c) for c in ("seq", "ts_ms")], F.split("text", r"\|", -1).alias("p"))
+    made = {n: F.get("p", F.lit(i)).try_cast(kinds[n]) for i, n in enumerate(REPLICATED)}
+    good = F.size("p") == len(REPLICATED)
+    for value in made.values():
+        good &= value.isNotNull()
+    good = F.coalesce(good & made["command"].isin(list(VERBS.values())), F.lit(False))
+    return parts.select("seq", "ts_ms", *[F.when(good, made[c]).alias(c) if c in made else F.lit(None).cast(k).alias(c) for c, k in kinds.items() if c not in ("seq", "ts_ms")])

@@ -33,10 +33,13 @@ def test_bloom_positions(spark):
     assert sorted(map(tuple, made.collect())) == [("a", 9586, 7), ("b", 624, 5)]
 
 
-def test_bloom_blank_and_missing(spark):
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_bloom_blank_and_missing(spark, monkeypatch, most):
     defs = bloom.init(spark.createDataFrame([("a", 100, 0.05)], "key string, n int, p double"))
     bits = bloom.add(defs, None, spark.createDataFrame([("a", "x"), ("none", "x")], "key string, value string"))
     probes = spark.createDataFrame([("a", "x"), ("a", ""), ("a", None), ("none", "x"), ("none", "")], "key string, value string")
+    assert all(r.flag == 0 for r in bloom.exists(defs.where("false"), bits.where("false"), probes).collect())
+    monkeypatch.setattr(bloom, "BROADCAST_BITS", most)  # 0: the filters aren't broadcast
     assert {(r.key, r.value): r.flag for r in bloom.exists(defs, bits, probes).collect()} == {("a", "x"): 1, ("a", ""): 1, ("a", None): 1, ("none", "x"): 0, ("none", ""): 0}
 
 
@@ -281,6 +284,8 @@ def test_codec(spark):
     lines = ['SET k "a b" c', '"abc', 'a "b c', 'x"y z"w  " "', "", '""']
     words = [["SET", "k", "a b", "c"], ['"abc'], ["a", '"b', "c"], ['x"y z"w', " "], [], [""]]
     assert [r[0] for r in column(spark, lines).select(codec.cli_tokens(F.col("x"))).collect()] == words
+    bad = [(1, "Z_ADD|k|v|0|false|0|0.0|1.5|m|||"), (2, "Z_ADD|k|v|0|false|0|0.0|1.5|m||1|2|f"), (3, "NOPE|k|v|0|false|0|0.0|1.5|m||1|2|f"), (4, "PUT|k|v|x|false|0|0.0|1.5|m||1|2|f"), (5, None)]
+    assert {r.seq: r.command for r in codec.from_replicated(spark.createDataFrame(bad, "seq int, text string")).collect()} == {1: None, 2: "Z_ADD", 3: None, 4: None, 5: None}
     huge = ["2000000000|1|a", "1|2000000000|a", "1|-1|a", "-1|", "0|", "2|1|a|1|", None]
     assert [r[0] for r in column(spark, huge).select(codec.tokens(F.col("x"))).collect()] == [None, None, None, None, [], None, None]
     replies = [("GET", "42"), ("DELETE", "1"), ("H_GET", "42"), ("Z_RANK", "-1"), ("GET", None)]
