@@ -100,12 +100,13 @@ def step_shift(radius_m: Column) -> Column:
 def box_ranges(south: Column, north: Column, west: Column, east: Column, parts: int = 3) -> Column:
     """Array of (lo, hi): the geohashes of opposite corners of the parts x parts pieces of a box, from the south-west, the lesser first."""
 
-    def cut(low: Column, high: Column, k: int) -> Column:
-        return low + F.lit(k) * ((high - low) / F.lit(float(parts)))
-
-    pieces = []
-    for i in range(parts):
-        for j in range(parts):
-            a, b = (encode(cut(south, north, i + d), cut(west, east, j + d)) for d in (0, 1))
-            pieces.append(F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")))
-    return F.array(*pieces)
+    def cut(low: Column, high: Column, k: Column) -> Column:
+        return low + k * ((high - low) / F.lit(float(parts)))
+
+    def piece(k: Column) -> Column:
+        i, j = F.floor(k / parts), k % parts
+        a, b = (encode(cut(south, north, i + d), cut(west, east, j + d)) for d in (0, 1))
+        return F.array_sort(F.array(a, b))
+
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(parts * parts - 1)), piece)
+    return F.transform(pairs, lambda x: F.struct(x[0].alias("lo"), x[1].alias("hi")))
