@@ -619,6 +619,22 @@ def test_pipeline(spark):
     assert all(r.round_trip in (True, None) for r in after.values())
 
 
+def test_pipeline_odd(spark):
+    """Rows that repeat a doc_id stay or go together, rows with a null doc_id stay; an empty table gives an empty table."""
+    long, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(90))
+    rows = [(1, long), (1, long), (2, long), (3, None), (3, None), (None, long), (4, ""), (5, f"{other} {long} at the end of it")]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect() if r.text) == [(0, long), (1, long), (1, long), (5, rows[-1][1])]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.drop_repeats(spark, docs, SF).collect())
+    assert kept == [(0, long), (1, long), (1, long), (3, ""), (3, ""), (4, ""), (5, f"{other} at the end of it")]
+    assert corpus_pipeline.drop_contaminated(spark, docs, SF).count() == len(rows)
+    assert sorted(r.n_tokens for r in corpus_pipeline.tokenise(spark, docs, SF).collect())[:3] == [0, 0, 0]
+    none = docs.where("false")
+    for _, step in corpus_pipeline.STAGES:
+        none = corpus_pipeline.stage(step(spark, none, SF), "none")
+        assert none.count() == 0
+
+
 def test_pipeline_drops(spark):
     """The toxicity stage drops what a directly scored table calls toxic; decontamination drops what shares a window with the benchmark."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
