@@ -68,12 +68,15 @@ TEXTS = "PUT BF_ADD BF_INIT Z_POS Z_ADD Z_SCR GEO_ADD GEO_ENCODE H_GET H_SET".sp
 SIZED = "GET LST_KEY Z_RANGE Z_TOP Z_RSCR GEO_SEARCH GEO_DIST GEO_GET GEO_NB H_ALL".split()
 
 
+def _tokenised(requests: DataFrame, column: str) -> DataFrame:
+    """requests with __t, the tokens. They are made behind a generator of one row, else each use of them would make them anew."""
+    return requests.select("*", F.explode(F.array(F.col(column))).alias("__x")).select(*requests.columns, F.explode(F.array(tokens(F.col("__x")))).alias("__t"))
+
+
 def parse(requests: DataFrame, column: str = "text") -> DataFrame:
     """requests with command (null if unknown), key and args (array)."""
-    t = tokens(F.col(column))
     verbs = F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair])
-    out = requests.withColumn("__t", t)
-    return out.withColumns({"command": F.try_element_at(verbs, F.upper(F.get("__t", F.lit(0)))), "key": F.get("__t", F.lit(1)), "args": F.slice("__t", 3, F.greatest(F.size("__t") - 2, F.lit(0)))}).drop("__t")
+    return _tokenised(requests, column).withColumns({"command": F.try_element_at(verbs, F.upper(F.get("__t", F.lit(0)))), "key": F.get("__t", F.lit(1)), "args": F.slice("__t", 3, F.greatest(F.size("__t") - 2, F.lit(0)))}).drop("__t")
 
 
 def commands(requests: DataFrame, column: str = "text") -> DataFrame:
@@ -83,18 +86,17 @@ def commands(requests: DataFrame, column: str = "text") -> DataFrame:
     """
     kinds = dict(f.split(" ") for f in SCHEMA.split(", "))
     verbs = F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair])
-    rows = requests.withColumn("__t", tokens(F.col(column)))
-    rows = rows.withColumn("__c", F.try_element_at(verbs, F.upper(F.get("__t", F.lit(0))))).withColumn("__n", F.size("__t"))
+    forms = [(F.lit(c), F.struct(F.lit(least).alias("least"), F.lit(most if most is not None else 1 << 30).alias("most"), F.array(*map(F.lit, names.split())).cast("array<string>").alias("names"))) for c, (least, most, names) in ARGUMENTS.items()]
+    rows = _tokenised(requests, column).withColumn("__c", F.try_element_at(verbs, F.upper(F.get("__t", F.lit(0)))))
+    rows = rows.withColumn("__f", F.explode(F.array(F.try_element_at(F.create_map(*[x for pair in forms for x in pair]), F.col("__c")))))
     found: dict[str, Column] = {}
-    sound = F.lit(None).cast("boolean")
-    for command, (least, most, names) in ARGUMENTS.items():
-        own, good = F.col("__c") == command, F.col("__n").between(least, most if most is not None else 1 << 30)
-        for i, name in enumerate(names.split(), 1):
-            token = F.get("__t", F.lit(i))
-            value = token if kinds[name] == "string" else token.try_cast("int") == 1 if name == "not_exists" else token.try_cast(kinds[name])
-            good &= token.isNull() | value.isNotNull()
-            found[name] = found[name].when(own, value) if name in found else F.when(own, value)
-        sound = F.when(own, good).otherwise(sound)
+    sound = F.size("__t").between(F.col("__f.least"), F.col("__f.most"))
+    for name in dict.fromkeys(n for _, _, names in ARGUMENTS.values() for n in names.split()):
+        at = F.array_position("__f.names", F.lit(name)).cast("int")
+        token = F.when(at > 0, F.get("__t", at))
+        found[name] = token if kinds[name] == "string" else token.try_cast("int") == 1 if name == "not_exists" else token.try_cast(kinds[name])
+        if kinds[name] != "string":
+            sound &= token.isNull() | found[name].isNotNull()
     rows = rows.withColumn("__ok", F.coalesce(sound, F.lit(False)))
     out = {"command": F.col("__c")} | found
     kept = [F.col(c).cast("bigint").alias(c) if c in requests.columns else F.lit(None).cast("bigint").alias(c) for c in ("seq", "ts_ms")]
