@@ -108,7 +108,7 @@ _POWERS = {"n": 0, "up": np.zeros(0, np.uint64), "down": np.zeros(0, np.uint64)}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers modulo 2^64 of an odd number, and of its inverse."""
     if _POWERS["n"] < n:
-        n = max(n, 2 * BLOCK_BYTES)
+        n = max(n, BLOCK_BYTES + BLOCK_BYTES // 8)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             steps = np.full(n, np.uint64(base % 2**64))
             steps[0] = 1

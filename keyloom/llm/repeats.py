@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from .common import BLOCK_BYTES, blocks, discard, list_parts, pair64, slices, sliding_min, stage, text_parts
 
 #: Stretches of a bucket that meet in one group, at most; windows of a stretch, at most (bits of a mask); stretches that are refined at once.
-GROUP, STRETCH, AT_ONCE = 4096, 63, 1 << 14
+GROUP, STRETCH, AT_ONCE = 4096, 63, 1 << 13
 
 
 @dataclass
