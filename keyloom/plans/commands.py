@@ -120,12 +120,13 @@ def _after_drops(rows: DataFrame, drop: str, remove: str, member: str) -> DataFr
     return left.where("(dropped is null or seq > dropped) and (gone is null or seq > gone)").drop("dropped", "gone")
 
 
-def replay_zset(commands: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def replay_zset(commands: DataFrame, state: DataFrame | None = None, keep_equal: bool = True) -> DataFrame:
     """zset(key, member, score, value) after Z_ADD, Z_INCR, Z_RM, Z_DEL and CLEAR commands, in the order of seq.
 
     The increments of members that are never added are sums, pre-aggregated.
     Those of others are summed between the adds, over a sorted window and not
-    in lists; an add of the score that is there leaves the value.
+    in lists; an add of the score that is there leaves the value, or with
+    keep_equal=False replaces it like any other add.
     """
     rows = _ordered(commands.select("seq", "command", "key", "z_member", "z_score", "value"), ("Z_ADD", "Z_INCR", "Z_RM", "Z_DEL"))
     rows = _with_state(rows, commands, state, "Z_ADD", {"key": "key", "member": "z_member", "score": "z_score", "value": "value"})
@@ -141,8 +142,10 @@ def replay_zset(commands: DataFrame, state: DataFrame | None = None) -> DataFram
     each = each.agg(F.max(F.when(add, F.struct("z_score", "value"))).alias("a"), F.sum(F.when(~add, F.col("z_score"))).alias("more"))
     end = F.coalesce("a.z_score", F.when(F.col("a").isNull(), F.lit(0.0))) + F.coalesce("more", F.lit(0.0))
     each = each.withColumn("score", F.when(F.col("a").isNotNull() & F.col("more").isNull(), F.col("a.z_score")).otherwise(end))
-    found = F.lag("score").over(W.partitionBy(*of).orderBy("stretch"))
-    each = each.withColumn("moved", F.col("a").isNotNull() & ~F.col("a.z_score").eqNullSafe(found))
+    moved = F.col("a").isNotNull()
+    if keep_equal:
+        moved &= ~F.col("a.z_score").eqNullSafe(F.lag("score").over(W.partitionBy(*of).orderBy("stretch")))
+    each = each.withColumn("moved", moved)
     out = each.groupBy(*of).agg(F.max_by("score", "stretch").alias("score"), F.max(F.when(F.col("moved"), F.struct("stretch", "a.value"))).alias("v"))
     return counters.select(*of, "score", "value").unionByName(out.select(*of, "score", F.when(F.col("v").isNotNull(), F.col("v.value")).otherwise(F.col("member")).alias("value")))
 
